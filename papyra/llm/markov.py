@@ -44,7 +44,7 @@ BATCH = 256
 SCALE = 1 << 20
 SMOOTH = 0.05
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
