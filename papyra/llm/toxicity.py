@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import text as tx
 
 BITS = 18
@@ -70,6 +71,20 @@ def _bags(batches):
             })
 
 
+def _chosen(mask):
+    """Only the pairs of chosen features."""
+
+    def run(batches):
+        for batch in batches:
+            f, s = (batch.column(c).flatten().to_numpy() for c in "fs")
+            keep = mask.value[f]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("f").offsets.to_numpy()))[keep]
+            cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.record_batch({"toxic": batch.column("toxic"), "n": batch.column("n"), "f": pa.ListArray.from_arrays(cut, pa.array(f[keep])), "s": pa.ListArray.from_arrays(cut, pa.array(s[keep]))})
+
+    return run
+
+
 def _softplus(z):
     return np.logaddexp(0.0, z)
 
@@ -86,24 +101,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return None
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class[1] / sizes[1]))).otherwise(F.lit(min(1.0, per_class[0] / sizes[0])))
     drawn = F.pmod(F.xxhash64(F.col("k"), F.lit("toxicity")), F.lit(1 << 30)) < share * (1 << 30)
-    sample = y.where(drawn).join(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), "k").where(F.col("text").isNotNull())
+    # the drawn keys are bounded by per_class
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(y.where(drawn)), "k")
     once = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min(F.lower("text")).cast("binary").alias("text"))
-    bags = once.select("toxic", "text").mapInArrow(_bags, "toxic int, n long, f array<int>, s array<int>").toArrow()
-    label_of = bags["toxic"].to_numpy()
-    n = len(label_of)
-    if len(set(label_of.tolist())) < 2:
+    bags = store.written(once.select("toxic", "text").mapInArrow(_bags, "toxic int, n long, f array<int>, s array<int>"), "bags")
+    # features that toxic texts have clearly more often; the others weigh nothing
+    texts = {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(texts) < 2:
         return None
-    flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in bags[c].chunks)])
-    f, s = flat("f"), flat("s")
-    d = np.repeat(np.arange(n), np.concatenate([[0], *(np.diff(x.offsets.to_numpy()) for x in bags["f"].chunks)])[1:].astype(int))
-    sentences = bags["n"].to_numpy()
-    # Features that toxic texts have clearly more often; the others weigh nothing.
-    seen = np.unique(d.astype(np.int64) << BITS | f)
-    sd, sf = seen >> BITS, seen & ((1 << BITS) - 1)
-    has = [np.bincount(sf[label_of[sd] == c], minlength=1 << BITS) for c in (0, 1)]
-    lift = ((has[1] + 0.1) / (label_of == 1).sum()) / ((has[0] + 0.1) / (label_of == 0).sum())
-    keep = ((has[1] >= MIN_TEXTS) & (lift >= MIN_LIFT))[f]
-    f, s, d = f[keep], s[keep], d[keep]
+    seen = bags.select("toxic", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.count("*").alias("m"))
+    lift = ((F.col("p") + 0.1) / texts[1]) / ((F.col("m") - F.col("p") + 0.1) / texts[0])
+    chosen = np.zeros(1 << BITS, bool)
+    chosen[seen.where((F.col("p") >= MIN_TEXTS) & (lift >= MIN_LIFT)).select("f").toArrow()["f"].to_numpy()] = True
+    few = bags.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(chosen)), bags.schema).toArrow()
+    store.drop(docs.sparkSession, bags)
+    label_of, sentences = few["toxic"].to_numpy(), few["n"].to_numpy()
+    n = len(label_of)
+    f, s = (np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in few[c].chunks)]) for c in "fs")
+    d = np.repeat(np.arange(n), np.concatenate([np.diff(x.offsets.to_numpy()) for x in few["f"].chunks]))
     names, col = np.unique(f, return_inverse=True)
     where, inst = np.unique(d.astype(np.int64) << 32 | s, return_inverse=True)
     bag = where >> 32
