@@ -1,0 +1 @@
+"""Text analytics over large document collections, on PySpark."""
