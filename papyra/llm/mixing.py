@@ -67,11 +67,14 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return level.withColumn("_at", ok["_level"]).select("source", "source_size", F.least("_cap", F.coalesce(F.col("_at") * F.col("_w"), "_cap")).alias("target"))
 
 
-def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "source", key: str = "doc_id", weight: str | None = None, max_epochs: int = MAX_EPOCHS, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """The ``carry`` columns with size, source_size, target, epochs and taken, for every row."""
+def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "source", key: str = "doc_id", weight: str | None = None, size: str | None = None, max_epochs: int = MAX_EPOCHS, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """The ``carry`` columns with size, source_size, target, epochs and taken, for every row.
+
+    ``size`` names a column with the words of each row, if they are counted already.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     w = F.when((w > 0) & ~F.isnan(w), w).otherwise(1.0)
-    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(key).alias("_key"), F.col(source).alias("source"), n_words(text).alias("size"), (-F.log(uniform(key)) / w).alias("_order"))
+    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(key).alias("_key"), F.col(source).alias("source"), (F.col(size) if size else n_words(text)).alias("size"), (-F.log(uniform(key)) / w).alias("_order"))
     rows = store.written(rows, "mix")
     n = rows.count()
     bins = 1
