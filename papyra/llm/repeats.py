@@ -177,28 +177,6 @@ def _candidates(window: int, phrase: int):
     return run
 
 
-def _confirm(batches):
-    """Of anchors sorted by (hash, document): those in two documents, about once a bucket."""
-    held = None  # first row of an unfinished run, and whether the run is confirmed
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        sure = False
-        if held is not None:
-            t, sure = pa.concat_tables([held[0], t]), held[1]
-        t = t.combine_chunks()
-        h, doc = t["h"].to_numpy(), t["doc_id"].to_numpy()
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        end = np.append(new[1:], len(h))
-        many = doc[new] != doc[end - 1]
-        many[0] |= sure
-        keep = np.repeat(many, end - new)
-        bucket = t["bucket"].to_numpy()
-        keep[1:] &= (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-        held = (t.slice(new[-1], 1), bool(many[-1]))
-        yield from t.filter(pa.array(keep)).to_batches()
-
-
 def _owners(batches):
     """Of windows sorted by (hash, least document): for buckets with a later document, the least of all."""
     last_h, last_m = None, None
@@ -266,17 +244,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     known = survey.select("doc_id", "n_words", "whole").join(least, "whole").withColumn("copy", F.col("doc_id") > F.col("least"))
     copies = known.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy").select("doc_id")
 
-    anchors = survey.where("size(h) > 0").join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("a.h", "doc_id", "a.pos", bucket)
-    sorted_anchors = anchors.repartition(n, "h").sortWithinPartitions("h", "doc_id")
-    confirmed = store.written(sorted_anchors.mapInArrow(_confirm, "h long, doc_id long, pos int, bucket long"), "confirmed")
-    store.release(spark)
+    anchors = survey.where("size(h) > 0").join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("a.h", "doc_id", "a.pos")
+    # counted with map-side sums, then met in a join that can be split: a common anchor is no single task
+    twice = anchors.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
+    confirmed = store.written(anchors.join(twice, "h", "left_semi"), "confirmed").withColumn("bucket", bucket)
 
     dealt = rows.select("doc_id", "text", bucket)
     hints = confirmed.unionByName(copies.select(F.lit(None).cast("long").alias("h"), "doc_id", F.lit(-1).alias("pos"), bucket))
     found = dealt.groupBy("bucket").cogroup(hints.groupBy("bucket")).applyInArrow(_candidates(window, phrase), "h long, bucket long, lo long, hi long")
     owners = store.written(found.repartition(n, "h").sortWithinPartitions("h", "lo").mapInArrow(_owners, "bucket long, h long, owner long"), "owners")
     store.drop(spark, confirmed)
-    store.release(spark)
+    del found, hints
 
     cut = dealt.groupBy("bucket").cogroup(owners.groupBy("bucket")).applyInArrow(_cut(window), "doc_id long, whole binary, n_removed long, kept_sha256 string")
     cut = cut.dropDuplicates(["doc_id", "whole"])

@@ -7,12 +7,14 @@ which driver and executors share, so that a lost executor never loses a stage.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this setting Spark drops a finished query's shuffle files at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: dict[str, list[str]] = {}
 
 
@@ -32,7 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/papyra-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = []
@@ -47,12 +54,6 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
         _delete(spark, f.rsplit("/", 1)[0])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are no longer held."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
