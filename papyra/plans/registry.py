@@ -14,6 +14,12 @@ WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[ \\t\\r\\n]+'), lam
 TOK = "(floor(length(coalesce({0}, '')) / 3.5) + 1)::BIGINT"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Texts of fewer splits than cores are dealt out, since each is exploded into many words; larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to the tables of a folder."""
 
@@ -21,7 +27,8 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name == "documents" else df
 
 
 def query(sql: str | None = None):
