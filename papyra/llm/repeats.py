@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
 
     anchors = survey.where("size(h) > 0").join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("a.h", "doc_id", "a.pos")
     # counted with map-side sums, then met in a join that can be split: a common anchor is no single task
-    twice = anchors.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
+    twice = store.written(anchors.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h"), "recurring")
     confirmed = store.written(anchors.join(twice, "h", "left_semi"), "confirmed").withColumn("bucket", bucket)
 
     dealt = rows.select("doc_id", "text", bucket)
