@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     survey = store.written(rows.mapInArrow(_survey(window, phrase), "doc_id long, n_words long, whole binary, n_bytes long, h array<long>, pos array<int>"), "survey")
     total = survey.agg(F.sum("n_bytes")).first()[0] or 0
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // bucket_bytes)))).alias("bucket")
-    least = survey.groupBy("whole").agg(F.min("doc_id").alias("least"))
+    least = store.written(survey.groupBy("whole").agg(F.min("doc_id").alias("least")), "least")
     known = survey.select("doc_id", "n_words", "whole").join(least, "whole").withColumn("copy", F.col("doc_id") > F.col("least"))
     copies = known.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy").select("doc_id")
 
