@@ -1,15 +1,18 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its word
-shingles. Fingerprints at most two bits apart are linked: cut into two halves,
-one half differs by at most one bit, so each fingerprint is indexed under the 64
-signatures "half with one bit deleted". Equal signatures meet and are verified.
+shingles. Fingerprints at most ``distance`` bits apart are linked: cut into
+distance // 2 + 1 segments (two for 2 bits, three for 5), one segment differs by
+at most one bit, so each fingerprint is indexed under the 64 signatures "segment
+with one bit deleted". Equal signatures meet and are verified.
 
 Copies collapse first (one row per fingerprint). A signature shared by more than
-CROWD fingerprints is not paired up: its members get the two-bit deletion
-signatures instead, whose sharers all lie within two bits of each other, so that
-linking them to the least of them loses nothing. Work is thus linear in every
-group's size, with no cap.
+CROWD fingerprints is not paired up. At two bits its members get the two-bit
+deletion signatures instead, whose sharers all lie within two bits of each other,
+so that linking them to the least of them loses nothing, and work is linear in
+every group's size. At larger distances a crowd is searched breadth-first for a
+spanning forest of its links: linear where all lie close, quadratic where they
+are far apart, and it holds 8 bytes per distinct fingerprint. Nothing is capped.
 
 Defined results: a text that is null or has no word has fingerprint zero and is
 linked like any other; fewer words than a shingle make one shingle of all; rows
@@ -30,6 +33,8 @@ from .xxh import hash_spans
 
 SHINGLE = 3
 DISTANCE = 2
+#: Bits within which the pipeline's stage takes texts for near-duplicates.
+NEAR = 5
 #: Fingerprints of one signature that are compared pairwise; larger ones take the two-bit signatures.
 CROWD = 256
 
@@ -96,45 +101,75 @@ def _drop_bit(half: np.ndarray, at: int) -> np.ndarray:
     return (half & low) | ((half >> np.uint64(1)) & ~low)
 
 
-def _signatures(batches):
-    """64 rows per fingerprint: signature = half (1 bit), deleted position (5), the other 31 bits."""
-    for batch in batches:
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        halves = (fp & np.uint64(0xFFFFFFFF), fp >> np.uint64(32))
-        for s, half in enumerate(halves):
-            for at in range(32):
-                sig = np.uint64((s << 36) | (at << 31)) | _drop_bit(half, at)
-                yield pa.record_batch({"sig": sig.view(np.int64), "fp": batch.column("fp")})
+def _segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments of which one differs by at most one bit."""
+    n = distance // 2 + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+
+
+def _signatures(distance: int):
+    """64 rows per fingerprint: signature = deleted bit (6), the rest of its segment (31)."""
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            for lo, width in _segments(distance):
+                part = (fp >> np.uint64(lo)) & np.uint64((1 << width) - 1)
+                for at in range(width):
+                    sig = np.uint64((lo + at) << 31) | _drop_bit(part, at)
+                    yield pa.record_batch({"sig": sig.view(np.int64), "fp": batch.column("fp")})
+
+    return run
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> np.ndarray:
+def _pairs(x: np.ndarray, y: np.ndarray, sig: np.ndarray, distance: int) -> np.ndarray:
     """Which candidate pairs are links that this signature, of all that they share, reports."""
     diff = x ^ y
-    low, high = diff & np.uint64(0xFFFFFFFF), diff >> np.uint64(32)
-    n_low = _popcount(low)
-    first = n_low <= 1
-    bit = np.where(first, low, high)
-    at = np.where(bit == 0, 0, _popcount((bit & (~bit + np.uint64(1))) - np.uint64(1)).astype(np.int64))
-    at = np.where(bit == 0, 0, at).astype(np.uint64)
-    mine = (sig >> np.uint64(31)) == ((np.where(first, 0, 1).astype(np.uint64) << np.uint64(5)) | at)
-    return mine & (_popcount(diff) <= DISTANCE)
-
-
-def _meet(batches):
-    """Of rows sorted by signature: verified links, and the members of crowded signatures (b null)."""
+    first = np.full(len(diff), 64, np.int64)
+    for lo, width in reversed(_segments(distance)):
+        bits = (diff >> np.uint64(lo)) & np.uint64((1 << width) - 1)
+        at = np.where(bits == 0, 0, _popcount((bits & (~bits + np.uint64(1))) - np.uint64(1)))
+        first = np.where(_popcount(bits) <= 1, lo + at, first)
+    return ((sig >> np.uint64(31)).astype(np.int64) == first) & (_popcount(diff) <= distance)
+
+
+def _spanning(fp: np.ndarray, distance: int) -> np.ndarray:
+    """Links that connect whatever chains of links connect among distinct fingerprints, each met once."""
+    left, out = fp, [np.zeros((0, 2), np.uint64)]
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = _popcount(left ^ at) <= distance
+            if near.any():
+                got = left[near]
+                out.append(np.stack([np.full(len(got), at), got], 1))
+                queue.extend(got)
+                left = left[~near]
+    return np.concatenate(out)
+
+
+def _meet(distance: int):
+    """Of rows sorted by signature: verified links, and at two bits the members of crowded signatures (b null)."""
+
     def links(sig, fp):
         new = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         n = np.diff(np.append(new, len(sig)))
         size = np.repeat(n, n)
         members = fp[size > CROWD]
+        crowds = []
+        if distance > DISTANCE:
+            crowds = [_spanning(fp[i : i + k], distance) for i, k in zip(new[n > CROWD], n[n > CROWD])]
+            members = members[:0]
         few = (size > 1) & (size <= CROWD)
         sig, fp, size = sig[few], fp[few], size[few]
-        out = [np.zeros((0, 2), np.uint64)]
+        out = [np.zeros((0, 2), np.uint64), *crowds]
         for gap in range(1, min(CROWD, len(sig))):
             i = np.flatnonzero(sig[gap:] == sig[:-gap])  # neighbours `gap` apart in a run
             if not len(i):
                 break
-            real = _pairs(fp[i], fp[i + gap], sig[i])
+            real = _pairs(fp[i], fp[i + gap], sig[i], distance)
             out.append(np.stack([fp[i][real], fp[i + gap][real]], 1))
         return np.concatenate(out), members
 
@@ -144,21 +179,24 @@ def _meet(batches):
         b = np.concatenate([pairs[:, 1], members]).view(np.int64)
         return pa.record_batch({"a": a, "b": pa.array(b, mask=np.arange(len(b)) >= len(pairs))})
 
-    sig, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    for batch in batches:
-        sig = np.concatenate([sig, batch.column("sig").to_numpy().view(np.uint64)])
-        fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-        if not len(sig):
-            continue
-        cut = int(np.searchsorted(sig.view(np.int64), sig.view(np.int64)[-1]))
-        if cut:
-            yield emit(sig[:cut], fp[:cut])
-            sig, fp = sig[cut:], fp[cut:]
-        if len(sig) > 200_000:  # one long run: all but a crowd's worth are members already
-            yield pa.record_batch({"a": fp[CROWD + 1 :].view(np.int64), "b": pa.nulls(len(fp) - CROWD - 1, pa.int64())})
-            sig, fp = sig[: CROWD + 1], fp[: CROWD + 1]
-    if len(sig):
-        yield emit(sig, fp)
+    def run(batches):
+        sig, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in batches:
+            sig = np.concatenate([sig, batch.column("sig").to_numpy().view(np.uint64)])
+            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
+            if not len(sig):
+                continue
+            cut = int(np.searchsorted(sig.view(np.int64), sig.view(np.int64)[-1]))
+            if cut:
+                yield emit(sig[:cut], fp[:cut])
+                sig, fp = sig[cut:], fp[cut:]
+            if distance == DISTANCE and len(sig) > 200_000:  # one long run: all but a crowd's worth are members already
+                yield pa.record_batch({"a": fp[CROWD + 1 :].view(np.int64), "b": pa.nulls(len(fp) - CROWD - 1, pa.int64())})
+                sig, fp = sig[: CROWD + 1], fp[: CROWD + 1]
+        if len(sig):
+            yield emit(sig, fp)
+
+    return run
 
 
 def _two_bit(batches):
@@ -175,11 +213,13 @@ def _two_bit(batches):
                     yield pa.record_batch({"sig": left.view(np.int64), "at": np.repeat(np.arange(i * 64 + i + 1, i * 64 + 64, dtype=np.int32), len(fp)), "fp": np.tile(fp, k).view(np.int64)})
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b) links between distinct fingerprints ``fp`` that connect all within two bits."""
-    sigs = prints.select("fp").mapInArrow(_signatures, "sig long, fp long")
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) links between distinct fingerprints ``fp`` that connect all within ``distance`` bits (at least 2)."""
+    sigs = prints.select("fp").mapInArrow(_signatures(distance), "sig long, fp long")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = store.written(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet, "a long, b long"), "met")
+    met = store.written(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet(distance), "a long, b long"), "met")
+    if distance > DISTANCE:
+        return met
     crowded = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     keys = crowded.mapInArrow(_two_bit, "sig long, at int, fp long")
     hubs = keys.groupBy("sig", "at").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
@@ -187,11 +227,11 @@ def links(prints: DataFrame) -> DataFrame:
     return met.where("b is not null").union(star)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     prints = store.written(fingerprints(docs, text, key, shingle), "prints")
     first = store.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).where("least is not null"), "first")
-    found = links(first)
+    found = links(first, distance)
     ends = found.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = components.connected(ends, "near")
     of = first.join(groups, first["least"] == groups["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
@@ -200,9 +240,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     )
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = NEAR) -> DataFrame:
     """``docs`` without near-duplicates: of each group the smallest key stays, once; rows without a key stay."""
-    groups = near_duplicates(docs, text, key)
+    groups = near_duplicates(docs, text, key, distance=distance)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.join(stay, F.col(key).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
