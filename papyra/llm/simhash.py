@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, store
+from . import components, shingles, store
 from . import text as tx
 from .xxh import hash_spans
 
 SHINGLE = 3
 DISTANCE = 2
-#: Bits within which the pipeline's stage takes texts for near-duplicates.
+#: Bits within which the pipeline's stage takes texts for candidates.
 NEAR = 5
 #: Fingerprints of one signature that are compared pairwise; larger ones take the two-bit signatures.
 CROWD = 256
@@ -241,8 +241,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = NEAR) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the smallest key stays, once; rows without a key stay."""
-    groups = near_duplicates(docs, text, key, distance=distance)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    """``docs`` without near-duplicates: of each group the smallest key stays, once; rows without a key stay.
+
+    Fingerprints ``distance`` bits apart are candidates beside those of the exact
+    prefix filter; each link is verified by five-word Jaccard similarity.
+    """
+    near = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, distance=distance).select("doc_id", "component_id")
+    groups = shingles.groups(docs, text, key, also=near)
+    stay = groups.groupBy("grp").agg(F.min("doc_id").alias("_stay")).select("_stay").distinct()
     kept = docs.join(stay, F.col(key).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
