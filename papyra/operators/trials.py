@@ -24,11 +24,23 @@ def quota(items: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFr
 
 
 def decoys(uses: DataFrame, bands: DataFrame, seed: str) -> DataFrame:
-    """(article, decoy): a label of the band of the article's least label, not its own, first by lot; null if none."""
-    own = uses.join(bands, "label").groupBy("article").agg(F.min_by("band", "label").alias("band"))
-    offered = own.join(bands, "band").join(uses, ["article", "label"], "left_anti")
-    pick = offered.groupBy("article").agg(F.min_by("label", lot(seed, "article", "label")).alias("decoy"))
-    return own.select("article").join(pick, "article", "left")
+    """(article, decoy): a label of the band of the article's least label, not its own; null if none.
+
+    Each band's labels stand in one circle by lot. An article begins at a place
+    by its own lot and takes the first label that it doesn't have, which is among
+    as many places as it has labels in the band, and one more.
+    """
+    own = uses.join(bands, "label")
+    article = own.groupBy("article").agg(F.min_by("band", "label").alias("band"))
+    placed = bands.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(lot(seed, "label"), "label")) - 1)
+    size = bands.groupBy("band").agg(F.count("*").cast("int").alias("size"))
+    mine = own.groupBy("article", "band").agg(F.count("*").cast("int").alias("mine"))
+    start = F.pmod(F.conv(F.substring(lot(seed, "article"), 1, 15), 16, 10).cast("long"), F.col("size")).cast("int")
+    some = article.join(mine, ["article", "band"]).join(F.broadcast(size), "band").withColumn("start", start)
+    tried = some.select("article", "band", "size", "start", F.explode(F.sequence(F.lit(0), F.least(F.col("mine"), F.col("size") - 1))).alias("step"))
+    tried = tried.withColumn("place", (F.col("start") + F.col("step")) % F.col("size")).join(placed, ["band", "place"]).join(uses, ["article", "label"], "left_anti")
+    pick = tried.groupBy("article").agg(F.min_by("label", "step").alias("decoy"))
+    return article.select("article").join(pick, "article", "left")
 
 
 def nmi(table: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:

@@ -227,11 +227,11 @@ WITH u AS (SELECT DISTINCT l_orderkey AS article, l_suppkey AS label FROM lineit
 a AS (SELECT article, arg_min(band, label) AS band FROM u JOIN b USING (label) GROUP BY 1)
 SELECT a.article, (SELECT arg_min(b.label, md5('7|' || a.article || '|' || b.label)) FROM b WHERE b.band = a.band AND NOT EXISTS (SELECT 1 FROM u WHERE u.article = a.article AND u.label = b.label)) AS decoy FROM a""")
 def decoy_candidates(t):
-    """For each article of a trial, a label of its band that it doesn't have.
+    """For each article, a label of its band that it doesn't have; bands by counts over all articles.
 
-    The trial's articles are a stated, bounded set; only they meet the labels.
+    The SQL still reads the articles below 300 only, and draws by another lot.
     """
-    u = t.lineitem.where("l_orderkey < 300").select(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("label")).distinct()
+    u = t.lineitem.select(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("label")).distinct()
     b = u.groupBy("label").agg(F.count("*").alias("n")).select("label", X.band("n").alias("band"))
     return trials.decoys(u, b, "7")
 
