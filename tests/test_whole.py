@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+from papyra.operators import learning
 from papyra.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,10 @@ def test_decoys_of_all_articles(spark):
         want[a] = next((x for x in c[at:] + c[:at] if x not in labels), None)
     got = {r.article: r.decoy for r in QUERIES["decoy_candidates"](spark, SF).collect()}
     assert len(got) > 1000 and got == want
+
+
+def test_lda_takes_every_word_of_enough_documents(spark):
+    common, rarer = [f"w{i}" for i in range(1 << 15)], ["seldom", "scarce"]
+    docs = spark.createDataFrame([(i, common + rarer) for i in range(5)] + [(5, common), (6, common), (7, ["unique"])] + [(8, rarer)], "doc_id long, tokens array<string>")
+    weight = {r.doc_id: r.weight for r in learning.lda(docs, k=2, max_iter=1).collect()}
+    assert weight[8] > 0 and weight[7] == 0
