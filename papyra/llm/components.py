@@ -4,6 +4,10 @@ Every step is a grouped minimum and a join on node ids; each round is written to
 the shared folder, so neither lineage nor lost executors undo it, and no link
 reaches the driver. A hub's links are aggregated map-side and its join may be
 split, so a group with a third of all nodes is no single task.
+
+Defined results: links with a null end, and from a node to itself, are none;
+repeated links count once; ids may take any 64-bit value; no links, no rows; other
+columns than ``a`` and ``b`` are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ def connected(links: DataFrame, name: str = "links") -> DataFrame:
     spark = links.sparkSession
     edges = store.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     last = None
+    # sums of 64-bit hashes as decimals: no id overflows them, and equal sums twice mean an unchanged table
+    mark = F.xxhash64("u", "v")
     while True:
-        total = edges.agg(F.count("*"), F.sum("u"), F.sum("v")).first()
+        total = edges.agg(F.count("*"), F.sum(mark.cast("decimal(20,0)")), F.bit_xor(mark)).first()
         if not total[0] or total == last:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select("v", "v").distinct())
         last = total

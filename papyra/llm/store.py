@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +20,14 @@ _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set."""
+    """The session's checkpoint folder; one of our own only where none is set and nothing is remote."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="papyra-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -48,6 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession, rows: int, per_task: int) -> int:
+    """How many tasks ``rows`` need, at the session's number of shuffle partitions or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def free(columns: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """The columns that no name of ``taken`` equals in any case."""
+    names = {t.lower() for t in taken}
+    return [c for c in columns if c.lower() not in names]
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame that ``written`` returned."""
     for f in df.inputFiles()[:1]:

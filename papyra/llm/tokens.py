@@ -6,12 +6,15 @@ that set counts one, and only the rest is merged (by the library's model, with
 a bounded memo). A text with a code point on which the regular-expression
 engines disagree, or a special string, goes to the library as a whole.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows
-count alike; other input columns are not carried along.
+Defined results: null and empty texts have 0 bytes and 0 tokens; a very long text
+is counted whole, its pre-tokens listed at once (some 60 bytes each); repeated
+rows and null keys count like any others; an empty table gives no rows; other
+input columns, whatever their names, are not carried along.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -107,12 +110,11 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.split(s)))
 
 
-_counters: dict[int, Counter] = {}
+_counters: dict[str, Counter] = {}
 
 
-def _run(shared, limit: int):
+def _run(shared, key: str, limit: int):
     def run(batches):
-        key = shared.id if hasattr(shared, "id") else id(shared)
         spec, proven, unsafe = shared.value
         if key not in _counters:
             _counters.clear()
@@ -137,4 +139,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast((spec, prove(spec), unsafe_characters(spec)))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
-    return rows.mapInArrow(_run(shared, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    # a worker that is used again knows its counter by what the vocabulary holds
+    digest = hashlib.sha256(spec.encode()).hexdigest()
+    return rows.mapInArrow(_run(shared, digest, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

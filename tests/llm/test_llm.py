@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 from papyra.llm import ann, components, decontaminate, language_id, markov, mixing, repeats, sharding, simhash, toxicity
 from papyra.llm import text as tx
 from papyra.llm import tokens as tk
-from papyra.llm.queries import ORACLES, QUERIES, TOKENIZERS
+from papyra.llm.queries import ORACLES, QUERIES, VOCABULARY
 from papyra.llm.xxh import hash_spans
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BPE = public_tokenizers.path(VOCABULARY)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h long, fp long, bucket long, size long, target int, taken int, shard string, th long, toxic int, n_items int, k string, key int"
 
