@@ -1,23 +1,22 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its word
-shingles. Fingerprints at most ``distance`` bits apart are linked: cut into
-distance // 2 + 1 segments (two for 2 bits, three for 5), one segment differs by
-at most one bit, so each fingerprint is indexed under the 64 signatures "segment
-with one bit deleted". Equal signatures meet and are verified.
+shingles. Fingerprints at most two bits apart are linked: of the two halves, one
+differs by at most one bit, so each fingerprint is indexed under the 64 signatures
+"half with one bit deleted". Equal signatures meet and are verified.
 
 Copies collapse first (one row per fingerprint). A signature shared by more than
-CROWD fingerprints is not paired up. At two bits its members get the two-bit
-deletion signatures instead, whose sharers all lie within two bits of each other,
-so that linking them to the least of them loses nothing, and work is linear in
-every group's size. At larger distances a crowd is searched breadth-first for a
-spanning forest of its links: linear where all lie close, quadratic where they
-are far apart, and it holds 8 bytes per distinct fingerprint. Nothing is capped.
+CROWD fingerprints is not paired up: its members get the two-bit deletion
+signatures instead. At most four fingerprints share one of these, and all lie
+within two bits of each other, so linking them to the least of them loses nothing,
+and work is linear in every group's size. Nothing is capped.
 
 Defined results: a text that is null or has no word has fingerprint zero and is
-linked like any other; fewer words than a shingle make one shingle of all; rows
-that repeat a key are all returned, a null key has component null and links
-nothing; other input columns are not carried along.
+linked like any other; fewer words than a shingle make one shingle of all; a very
+long text is hashed in one piece, at about 60 bytes a word; rows that repeat a key
+are all returned, a null key has component null and links nothing; an empty table
+gives no rows; other input columns, whatever their names, are not carried along
+(``one_of_each`` returns the columns of its input and no others).
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ from .xxh import hash_spans
 
 SHINGLE = 3
 DISTANCE = 2
-#: Bits within which the pipeline's stage takes texts for candidates.
-NEAR = 5
+#: Signatures that one task sorts, about.
+TASK_ROWS = 2_000_000
 #: Fingerprints of one signature that are compared pairwise; larger ones take the two-bit signatures.
 CROWD = 256
 
@@ -59,29 +58,35 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def prints(buf: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
+    """The fingerprint of each text of a block."""
+    buf = tx.LOWER[buf]
+    texts = len(offs) - 1
+    starts, ends, rows = tx.words(buf, offs)
+    # words joined by one blank
+    width = ends - starts + 1
+    at = np.cumsum(width) - width
+    flat = np.full(int(width.sum()), 32, np.uint8)
+    flat[np.arange(len(flat)) - np.repeat(at - starts, width) < np.repeat(ends, width)] = buf[~tx.SPACE[buf]]
+    n = np.bincount(rows, minlength=texts)
+    head = np.cumsum(n) - n
+    k = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    of = np.repeat(np.arange(texts), k)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + head[of]
+    j = np.minimum(i + size, head[of] + n[of]) - 1
+    h = hash_spans(flat, at[i], at[j] + width[j] - 1)
+    fp = np.zeros(texts, np.uint64)
+    some = np.flatnonzero(k)
+    if len(some):
+        fp[some] = majority(h, (np.cumsum(k) - k)[some])
+    return fp
+
+
 def _prints(size: int):
     def run(batches):
         for batch in batches:
             for part, buf, offs in tx.blocks(batch, "text"):
-                buf = tx.LOWER[buf]
-                starts, ends, rows = tx.words(buf, offs)
-                # words joined by one blank
-                width = ends - starts + 1
-                at = np.cumsum(width) - width
-                flat = np.full(int(width.sum()), 32, np.uint8)
-                flat[np.arange(len(flat)) - np.repeat(at - starts, width) < np.repeat(ends, width)] = buf[~tx.SPACE[buf]]
-                n = np.bincount(rows, minlength=part.num_rows)
-                head = np.cumsum(n) - n
-                shingles = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
-                of = np.repeat(np.arange(part.num_rows), shingles)
-                i = np.arange(len(of)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + head[of]
-                j = np.minimum(i + size, head[of] + n[of]) - 1
-                h = hash_spans(flat, at[i], at[j] + width[j] - 1)
-                fp = np.zeros(part.num_rows, np.uint64)
-                some = np.flatnonzero(shingles)
-                if len(some):
-                    fp[some] = majority(h, (np.cumsum(shingles) - shingles)[some])
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": fp.view(np.int64)})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": prints(buf, offs, size).view(np.int64)})
 
     return run
 
@@ -101,153 +106,143 @@ def _drop_bit(half: np.ndarray, at: int) -> np.ndarray:
     return (half & low) | ((half >> np.uint64(1)) & ~low)
 
 
-def _segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments of which one differs by at most one bit."""
-    n = distance // 2 + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+#: (first bit, width) of the halves.
+HALVES = ((0, 32), (32, 32))
 
 
-def _signatures(distance: int):
-    """64 rows per fingerprint: signature = deleted bit (6), the rest of its segment (31)."""
-
-    def run(batches):
-        for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            for lo, width in _segments(distance):
-                part = (fp >> np.uint64(lo)) & np.uint64((1 << width) - 1)
-                for at in range(width):
-                    sig = np.uint64((lo + at) << 31) | _drop_bit(part, at)
-                    yield pa.record_batch({"sig": sig.view(np.int64), "fp": batch.column("fp")})
-
-    return run
+def _signatures(batches):
+    """64 rows per fingerprint: signature = deleted bit (6), the rest of its half (31)."""
+    for batch in batches:
+        fp = batch.column("fp").to_numpy().view(np.uint64)
+        for lo, width in HALVES:
+            part = (fp >> np.uint64(lo)) & np.uint64((1 << width) - 1)
+            for at in range(width):
+                sig = np.uint64((lo + at) << 31) | _drop_bit(part, at)
+                yield pa.record_batch({"sig": sig.view(np.int64), "fp": batch.column("fp")})
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, sig: np.ndarray, distance: int) -> np.ndarray:
+def _pairs(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """Which candidate pairs are links that this signature, of all that they share, reports."""
     diff = x ^ y
     first = np.full(len(diff), 64, np.int64)
-    for lo, width in reversed(_segments(distance)):
+    for lo, width in reversed(HALVES):
         bits = (diff >> np.uint64(lo)) & np.uint64((1 << width) - 1)
         at = np.where(bits == 0, 0, _popcount((bits & (~bits + np.uint64(1))) - np.uint64(1)))
         first = np.where(_popcount(bits) <= 1, lo + at, first)
-    return ((sig >> np.uint64(31)).astype(np.int64) == first) & (_popcount(diff) <= distance)
-
-
-def _spanning(fp: np.ndarray, distance: int) -> np.ndarray:
-    """Links that connect whatever chains of links connect among distinct fingerprints, each met once."""
-    left, out = fp, [np.zeros((0, 2), np.uint64)]
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = _popcount(left ^ at) <= distance
-            if near.any():
-                got = left[near]
-                out.append(np.stack([np.full(len(got), at), got], 1))
-                queue.extend(got)
-                left = left[~near]
-    return np.concatenate(out)
+    return ((sig >> np.uint64(31)).astype(np.int64) == first) & (_popcount(diff) <= DISTANCE)
 
 
-def _meet(distance: int):
-    """Of rows sorted by signature: verified links, and at two bits the members of crowded signatures (b null)."""
+def _meet(batches):
+    """Of rows sorted by signature: verified links, and the members of crowded signatures (b null)."""
 
-    def links(sig, fp):
+    def emit(sig, fp):
         new = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         n = np.diff(np.append(new, len(sig)))
         size = np.repeat(n, n)
         members = fp[size > CROWD]
-        crowds = []
-        if distance > DISTANCE:
-            crowds = [_spanning(fp[i : i + k], distance) for i, k in zip(new[n > CROWD], n[n > CROWD])]
-            members = members[:0]
         few = (size > 1) & (size <= CROWD)
-        sig, fp, size = sig[few], fp[few], size[few]
-        out = [np.zeros((0, 2), np.uint64), *crowds]
+        sig, fp = sig[few], fp[few]
+        out = [np.zeros((0, 2), np.uint64)]
         for gap in range(1, min(CROWD, len(sig))):
             i = np.flatnonzero(sig[gap:] == sig[:-gap])  # neighbours `gap` apart in a run
             if not len(i):
                 break
-            real = _pairs(fp[i], fp[i + gap], sig[i], distance)
+            real = _pairs(fp[i], fp[i + gap], sig[i])
             out.append(np.stack([fp[i][real], fp[i + gap][real]], 1))
-        return np.concatenate(out), members
-
-    def emit(sig, fp):
-        pairs, members = links(sig, fp)
+        pairs = np.concatenate(out)
         a = np.concatenate([pairs[:, 0], members]).view(np.int64)
         b = np.concatenate([pairs[:, 1], members]).view(np.int64)
         return pa.record_batch({"a": a, "b": pa.array(b, mask=np.arange(len(b)) >= len(pairs))})
 
-    def run(batches):
-        sig, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for batch in batches:
-            sig = np.concatenate([sig, batch.column("sig").to_numpy().view(np.uint64)])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            if not len(sig):
-                continue
-            cut = int(np.searchsorted(sig.view(np.int64), sig.view(np.int64)[-1]))
-            if cut:
-                yield emit(sig[:cut], fp[:cut])
-                sig, fp = sig[cut:], fp[cut:]
-            if distance == DISTANCE and len(sig) > 200_000:  # one long run: all but a crowd's worth are members already
-                yield pa.record_batch({"a": fp[CROWD + 1 :].view(np.int64), "b": pa.nulls(len(fp) - CROWD - 1, pa.int64())})
-                sig, fp = sig[: CROWD + 1], fp[: CROWD + 1]
-        if len(sig):
-            yield emit(sig, fp)
-
-    return run
+    sig, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for batch in batches:
+        sig = np.concatenate([sig, batch.column("sig").to_numpy().view(np.uint64)])
+        fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
+        if not len(sig):
+            continue
+        cut = int(np.searchsorted(sig.view(np.int64), sig.view(np.int64)[-1]))
+        if cut:
+            yield emit(sig[:cut], fp[:cut])
+            sig, fp = sig[cut:], fp[cut:]
+        if len(sig) > 200_000:  # one long run: all but a crowd's worth are members already
+            yield pa.record_batch({"a": fp[CROWD + 1 :].view(np.int64), "b": pa.nulls(len(fp) - CROWD - 1, pa.int64())})
+            sig, fp = sig[: CROWD + 1], fp[: CROWD + 1]
+    if len(sig):
+        yield emit(sig, fp)
 
 
 def _two_bit(batches):
     """All 2016 two-bit deletions of each fingerprint."""
     ones = [np.uint64(1 << i) for i in range(64)]
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            fp = part.column("fp").to_numpy().view(np.uint64)
-            for i in range(64):
-                k = 63 - i
-                if k:
-                    left = np.concatenate([fp & ~(ones[i] | ones[j]) for j in range(i + 1, 64)])
-                    yield pa.record_batch({"sig": left.view(np.int64), "at": np.repeat(np.arange(i * 64 + i + 1, i * 64 + 64, dtype=np.int32), len(fp)), "fp": np.tile(fp, k).view(np.int64)})
-
-
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) links between distinct fingerprints ``fp`` that connect all within ``distance`` bits (at least 2)."""
-    sigs = prints.select("fp").mapInArrow(_signatures(distance), "sig long, fp long")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = store.written(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet(distance), "a long, b long"), "met")
-    if distance > DISTANCE:
-        return met
+        for start in range(0, batch.num_rows, 4096):
+            fp = batch.slice(start, 4096).column("fp").to_numpy().view(np.uint64)
+            for i in range(63):
+                left = np.concatenate([fp & ~(ones[i] | ones[j]) for j in range(i + 1, 64)])
+                at = np.repeat(np.arange(i * 64 + i + 1, i * 64 + 64, dtype=np.int32), len(fp))
+                yield pa.record_batch({"sig": left.view(np.int64), "at": at, "fp": np.tile(fp, 63 - i).view(np.int64)})
+
+
+def links(distinct: DataFrame, rows: int) -> DataFrame:
+    """(a, b) links between ``rows`` distinct fingerprints ``fp`` that connect all within two bits."""
+    n = store.partitions(distinct.sparkSession, 64 * rows, TASK_ROWS)
+    sigs = distinct.select("fp").mapInArrow(_signatures, "sig long, fp long")
+    met = store.written(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet, "a long, b long"), "met")
     crowded = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     keys = crowded.mapInArrow(_two_bit, "sig long, at int, fp long")
-    hubs = keys.groupBy("sig", "at").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
-    star = keys.join(hubs, ["sig", "at"]).where("fp <> a").select("a", F.col("fp").alias("b"))
+    # a signature leaves two bits open: at most four fingerprints share one
+    groups = keys.groupBy("sig", "at").agg(F.array_sort(F.collect_set("fp")).alias("g")).where(F.size("g") > 1)
+    star = groups.select(F.col("g")[0].alias("a"), F.explode(F.slice("g", 2, 3)).alias("b"))
     return met.where("b is not null").union(star)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    prints = store.written(fingerprints(docs, text, key, shingle), "prints")
-    first = store.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).where("least is not null"), "first")
-    found = links(first, distance)
+    every = store.written(fingerprints(docs, text, key, shingle), "prints")
+    first = store.written(every.groupBy("fp").agg(F.min("doc_id").alias("least")).where("least is not null"), "first")
+    found = links(first, first.count())
     ends = found.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = components.connected(ends, "near")
     of = first.join(groups, first["least"] == groups["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(of, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    name = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return every.join(of, "fp", "left").select("doc_id", name, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _sketches(size: int, last: np.ndarray, weight: np.ndarray):
+    """Fingerprint and shingle sketch of each text, in one pass."""
+
+    def run(batches):
+        for batch in batches:
+            for part, buf, offs in tx.blocks(batch, "text"):
+                fp = prints(buf, offs, size).view(np.int64)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "th": part.column("th"), "fp": fp, **shingles.sketch(buf, offs, last, weight)})
+
+    return run
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = NEAR) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the smallest key stays, once; rows without a key stay.
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row of the smallest key stays, once; rows without a key stay.
 
-    Fingerprints ``distance`` bits apart are candidates beside those of the exact
-    prefix filter; each link is verified by five-word Jaccard similarity.
+    Candidates are the texts whose fingerprints are linked, and those that the exact
+    prefix filter of ``shingles`` finds; every link is verified by five-word Jaccard
+    similarity. Rows are told apart by key and text, so rows that repeat a key stay
+    as long as their texts are no near-copies of a smaller row's; of equal rows one
+    stays.
     """
-    near = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, distance=distance).select("doc_id", "component_id")
-    groups = shingles.groups(docs, text, key, also=near)
-    stay = groups.groupBy("grp").agg(F.min("doc_id").alias("_stay")).select("_stay").distinct()
-    kept = docs.join(stay, F.col(key).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident = F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th")
+    rows = docs.where(F.col(key).isNotNull()).select(*ident, F.col(text).cast("binary").alias("text"))
+    sketches = rows.mapInArrow(_sketches(SHINGLE, *shingles.common(rows)), f"doc_id long, th long, fp long, {shingles.SKETCH}")
+    sketches = store.written(sketches, "sketches")
+    fps = store.written(sketches.groupBy("fp").agg(F.min("node").alias("node")), "fps")
+    found = links(fps, fps.count()).join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b").select("x", "y")
+    alike = sketches.select("fp", "node").distinct().join(fps.toDF("fp", "y"), "fp").where("node <> y").select("node", "y")
+    groups = shingles.groups(sketches, rows, found.union(alike))
+    stay = groups.groupBy("grp").agg(F.min(F.struct("doc_id", "th")).alias("s")).select("s.*")
+    marked = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)), *ident)
+    kept = marked.join(stay, ["doc_id", "th"], "left_semi")
+    again = store.written(sketches.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "again")
+    if not again.isEmpty():  # equal rows: one of them
+        once = kept.join(again, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+        kept = kept.join(again, ["doc_id", "th"], "left_anti").union(once.select(*kept.columns))
+    return kept.union(marked.where("doc_id IS NULL").select(*kept.columns)).select(*names).toDF(*docs.columns)

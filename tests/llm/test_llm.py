@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from llm_brute import brute_jaccard
 from pyspark.sql import functions as F
 
 from papyra.llm import ann, components, decontaminate, language_id, markov, mixing, repeats, sharding, simhash, toxicity
@@ -224,10 +225,9 @@ def test_simhash(spark, hostile, empty):
     for df in (spark.read.parquet(f"{SF}/documents.parquet"), hostile.where("doc_id IS NOT NULL")):
         data = dict((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
         fps = brute_simhash(data.items())
-        for bits in (simhash.DISTANCE, simhash.NEAR):
-            groups = brute_groups(fps, bits)
-            got = simhash.near_duplicates(df, distance=bits).collect()
-            assert len(got) == df.count() and all((r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", groups[r.doc_id]) for r in got)
+        groups = brute_groups(fps)
+        got = simhash.near_duplicates(df).collect()
+        assert len(got) == df.count() and all((r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", groups[r.doc_id]) for r in got)
     assert [r.component_id for r in simhash.near_duplicates(hostile).where("doc_id IS NULL").collect()] == [None]
     kept = simhash.one_of_each(hostile)
     ids = [r.doc_id for r in kept.collect()]
@@ -235,34 +235,48 @@ def test_simhash(spark, hostile, empty):
     assert rows(simhash.near_duplicates(empty)) == []
 
 
-@pytest.mark.parametrize("bits", [simhash.DISTANCE, simhash.NEAR])
-def test_simhash_crowds(spark, bits):
+def test_simhash_crowds(spark):
     """A signature with more fingerprints than are paired takes another way, and loses no link."""
     rng = np.random.default_rng(5)
     low = np.unique(np.concatenate([[0], *(np.uint64(1) << rng.integers(0, 32, (700, 2)).astype(np.uint64)).T]).astype(np.uint64))
     low = np.unique(np.concatenate([low, low[:, None].repeat(30, 1).ravel() ^ (np.uint64(1) << rng.integers(0, 32, len(low) * 30).astype(np.uint64))]))[:600]
     fps = {i: int(x) | (0xABCD1234 << 32) for i, x in enumerate(low)}
     df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "doc_id long, fp long")
-    links = simhash.links(df, bits)
+    links = simhash.links(df, len(fps))
     name = {x - (1 << 64) if x >> 63 else x: i for i, x in fps.items()}
     pairs = [(name[r.a], name[r.b]) for r in links.collect()]
-    assert len(fps) > simhash.CROWD and all((fps[a] ^ fps[b]).bit_count() <= bits for a, b in pairs)
+    assert len(fps) > simhash.CROWD and all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in pairs)
     got = dict(rows(components.connected(spark.createDataFrame(pairs, "a long, b long"))))
-    assert {i: got.get(i, i) for i in fps} == brute_groups(fps, bits)
+    assert {i: got.get(i, i) for i in fps} == brute_groups(fps)
 
 
-def test_simhash_wide_radius():
-    """Random changes of up to five bits always share a signature; each pair is reported once."""
+def test_signatures_report_each_link_once():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     y = x.copy()
     for i in range(len(y)):
         for b in rng.choice(64, i % 6, replace=False):
             y[i] ^= np.uint64(1) << np.uint64(b)
-    for bits, n in ((2, sum(i % 6 <= 2 for i in range(400))), (5, 400)):
-        out = [list(simhash._signatures(bits)([pa.record_batch({"fp": v.view(np.int64)})])) for v in (x, y)]
-        reports = sum(simhash._pairs(x, y, a.column("sig").to_numpy().view(np.uint64), bits) & (a.column("sig").to_numpy() == b.column("sig").to_numpy()) for a, b in zip(*out))
-        assert reports.sum() == n and reports.max() == 1
+    out = [list(simhash._signatures([pa.record_batch({"fp": v.view(np.int64)})])) for v in (x, y)]
+    reports = sum(simhash._pairs(x, y, a.column("sig").to_numpy().view(np.uint64)) & (a.column("sig").to_numpy() == b.column("sig").to_numpy()) for a, b in zip(*out))
+    assert reports.tolist() == [int(i % 6 <= 2) for i in range(400)]
+
+
+def test_rows_that_repeat_a_key_are_told_apart_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(5, a), (5, b), (3, a), (3, a), (7, c), (7, c), (8, c + " more"), (None, a), (None, a), ((1 << 63) - 1, "d"), ((1 << 63) - 2, "e")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in data], "doc_id long, text string, th string, c0 string")
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    want = [(3, a), (5, b), (7, c), (None, a), (None, a), ((1 << 63) - 1, "d"), ((1 << 63) - 2, "e")]
+    assert sorted(rows(kept.select("doc_id", "text")), key=str) == sorted(want, key=str)
+
+
+def test_components_of_ids_near_the_largest(spark):
+    top = (1 << 63) - 1
+    pairs = [(top, top - 1), (top - 1, top - 2), (top - 2, top - 3), (-top, 5), (None, 4), (6, 6)]
+    got = dict(rows(components.connected(spark.createDataFrame(pairs, "a long, b long"))))
+    assert got == {**dict.fromkeys(range(top - 3, top + 1), top - 3), -top: -top, 5: -top}
 
 
 def test_components_of_a_long_chain(spark):
@@ -409,7 +423,7 @@ def test_pipeline(spark):
     gone = before - after
     assert sum(labels.get(i, 0) for i in gone) >= 0.8 * sum(labels[i] for i in before if i in labels) and sum(labels.get(i) == 0 for i in gone) <= 5
     before, after = steps["simhash near-dedup"]
-    groups = brute_groups(brute_simhash((r.doc_id, r.text) for r in before.collect()), simhash.NEAR)
+    groups = brute_jaccard((r.doc_id, r.text) for r in before.collect())
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(groups.values()))
     before, after = steps["benchmark decontamination"]
     items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

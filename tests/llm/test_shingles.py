@@ -1,40 +1,14 @@
 """The pipeline's near-duplicates against brute-force five-word Jaccard similarity."""
 
-import collections
 import itertools
 
 import numpy as np
+from llm_brute import brute_jaccard
 
 from papyra.llm import shingles, simhash
 from papyra.llm import text as tx
 
 SF = "/root/testdata/sf0.01"
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def brute(data):
-    """The least id of each text's group."""
-    sets = {}
-    for i, t in data:
-        w = (t or "").encode().translate(LOWER).split()
-        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
-    parent = {i: i for i in sets}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    where = collections.defaultdict(list)
-    for i, s in sets.items():
-        for x in s or [None]:
-            where[x].append(i)
-    shared = collections.Counter(p for ids in where.values() for p in itertools.combinations(sorted(ids), 2))
-    for (a, b), n in shared.items():
-        if not sets[a] and not sets[b] or 9 * n >= 4 * (len(sets[a]) + len(sets[b])):
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in sets}
 
 
 def kept(df):
@@ -43,7 +17,7 @@ def kept(df):
 
 def test_sf(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    want = brute((r.doc_id, r.text) for r in df.collect())
+    want = brute_jaccard((r.doc_id, r.text) for r in df.collect())
     assert kept(df) == sorted(set(want.values()))
 
 
@@ -59,7 +33,7 @@ def test_crowds(spark):
             w[at] = f"x{rng.integers(0, 10**6)}"
         data.append((i, " ".join(line * (i % 3) + w)))
     df = spark.createDataFrame(data, "doc_id long, text string")
-    want = brute(data)
+    want = brute_jaccard(data)
     assert 20 < len(set(want.values())) < 250
     assert kept(df) == sorted(set(want.values()))
 
