@@ -28,9 +28,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # words are counted before the labels join, so that no text is shuffled
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("_size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("_size"), F.xxhash64("text").alias("_tie"))
     docs = mixing.quality_weights(docs, table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, ["doc_id"], weight="_weight", size="_size").select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, ["doc_id"], weight="_weight", size="_size", tie="_tie").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
