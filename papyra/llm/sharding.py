@@ -6,20 +6,23 @@ splits on its next bit, until none is. Sizes of all prefixes come from one
 aggregation over cells of a depth at which most buckets fit; only documents of
 cells that are still too large are looked at with more bits.
 
-Documents whose hashes agree in all BITS bits (repeated keys) can't be parted by
-bits: they go to numbered overflow shards of the same prefix. A single document
-over the limit is a shard of its own.
-
-Defined results: a null text has 0 bytes; a null key hashes like an empty one; an
-empty table has the one empty root shard; other input columns are not carried
-along unless named.
+Documents whose hashes agree in all BITS bits (repeated keys) are parted in the
+same way by BITS more: of a hash of the text, and after these of a hash of the
+place in a table written first, so that equal rows part too and a retry moves no
+row. The second and third directories' bits follow the first's after a full stop.
+A single document over the limit is a shard of its own.
+
+Defined results: a null text has 0 bytes; a null key hashes like an empty one; a
+very long text is weighed, not cut; rows that repeat a key lie together as far as
+the limit allows; an empty table gives no rows; other input columns are not carried
+along unless named, and named ones give way to result columns of the same name.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -42,58 +45,94 @@ def _prefix(h: str | Column, depth: Column | int) -> Column:
 
 
 def _large(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """(depth, prefix) of the buckets of depths low..high that have to split; cells: (cell of depth high, bytes, docs)."""
-    levels = cells.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "cell", "bytes", "docs")
+    """(root, depth, prefix) of the buckets of depths low..high that have to split; cells: (root, cell of depth high, bytes, docs)."""
+    levels = cells.select("root", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "cell", "bytes", "docs")
     prefix = F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int"))
-    sums = levels.groupBy("depth", prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-    return sums.where((F.col("bytes") > limit) & (F.col("docs") > 1)).select("depth", "prefix")
+    sums = levels.groupBy("root", "depth", prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
+    return sums.where((F.col("bytes") > limit) & (F.col("docs") > 1)).select("root", "depth", "prefix")
 
 
 def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> tuple[DataFrame, list[int]]:
-    """Buckets that split, as (depth, prefix), and the depths at which cells were cut; rows: (_h, _bytes)."""
-    total = rows.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    """Buckets that split, as (root, depth, prefix), and the depths at which cells were cut; rows: (root, h, bytes).
+
+    Every ``root`` is a directory of its own.
+    """
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     high = min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + SLACK) if total > limit else 0
     low, found, cuts = 0, None, []
     while True:
-        cells = rows.groupBy(_prefix("_h", high).alias("cell")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("docs"))
+        cells = rows.groupBy("root", _prefix("h", high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs"))
         large = store.written(_large(cells, low, high, limit), "large")
         found = large if found is None else found.union(large)
         cuts.append(high)
-        deeper = large.where(F.col("depth") == high).select("prefix")
+        deeper = large.where(F.col("depth") == high).select(F.col("root").alias("r"), "prefix")
         if high == BITS or deeper.isEmpty():
             return found, cuts
-        rows = rows.join(deeper, _prefix("_h", high) == deeper["prefix"], "left_semi")
+        rows = rows.join(deeper, (F.col("root") == F.col("r")) & (_prefix("h", high) == F.col("prefix")), "left_semi")
         low, high = high + 1, min(BITS, high + STEP)
 
 
-def shard(docs: DataFrame, carry: list[str], text: str = "text", key: str = "doc_id", limit: int = SHARD_BYTES) -> DataFrame:
-    """The ``carry`` columns with n_bytes, shard_depth and shard (its prefix bits, ``root`` for none) for every row."""
-    keep = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(*keep, hash_bits(key).alias("_h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"))
-    thin = store.written(rows.select("_h", "_bytes"), "hashes")
+def _with_depth(rows: DataFrame, thin: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with their depth in the directory of (root, h), and the (root, h) whose bits don't suffice."""
     large, cuts = directory(thin, limit)
     # a document's depth is the number of its buckets that split; they are counted by cell
     depth = F.lit(0)
     for low, high in zip([-1, *cuts], cuts):
         cells = large.where((F.col("depth") > low) & (F.col("depth") <= high))
-        if low < 0 or not cells.isEmpty():
-            base = thin.select(_prefix("_h", high).alias("cell")).distinct()
-            levels = base.select("cell", F.explode(F.sequence(F.lit(low + 1), F.lit(high))).alias("depth"))
-            prefix = F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int"))
-            hits = levels.withColumn("prefix", prefix).join(cells, ["depth", "prefix"], "left_semi").groupBy("cell").agg(F.count("*").alias(f"_d{high}"))
-            rows = rows.join(hits.withColumnRenamed("cell", f"_p{high}"), _prefix("_h", high) == F.col(f"_p{high}"), "left")
-            depth = depth + F.coalesce(F.col(f"_d{high}"), F.lit(0))
-    # all bits agree and still too large: numbered overflow shards
-    last = large.where(F.col("depth") == BITS).select(F.col("prefix").alias("_over"))
-    name = lambda d: F.when(d == 0, "root").otherwise(F.expr(f"right(lpad(bin(shiftright(_h, cast({BITS} - _depth as int))), {BITS}, '0'), _depth)"))
-    out = [*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), F.col("_bytes").alias("n_bytes"), F.least(F.col("_depth"), F.lit(BITS)).cast("int").alias("shard_depth")]
-    placed = rows.withColumn("_depth", F.least(depth.cast("int"), F.lit(BITS)))
-    if BITS not in cuts or last.isEmpty():
-        return placed.select(*out, name(F.col("_depth")).alias("shard"))
-    rest = placed.join(last, F.col("_h") == F.col("_over"), "left_anti").select(*out, name(F.col("_depth")).alias("shard"))
-    run = Window.partitionBy("_h").orderBy(F.desc("_bytes"), F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)
-    part = F.floor(2 * F.coalesce(F.sum("_bytes").over(run), F.lit(0)) / F.lit(limit)).cast("string")
-    return rest.union(placed.join(last, F.col("_h") == F.col("_over"), "left_semi").select(*out, F.concat(name(F.col("_depth")), F.lit("."), part).alias("shard")))
+        if low >= 0 and cells.isEmpty():
+            continue
+        base = thin.select("root", _prefix("h", high).alias("cell")).distinct()
+        levels = base.select("root", "cell", F.explode(F.sequence(F.lit(low + 1), F.lit(high))).alias("depth"))
+        prefix = F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int"))
+        hits = levels.withColumn("prefix", prefix).join(cells, ["root", "depth", "prefix"], "left_semi").groupBy("root", "cell").agg(F.count("*").alias(f"{name}{high}"))
+        hits = hits.withColumnsRenamed({"root": "_r", "cell": "_p"})
+        rows = rows.join(hits, (F.col("root") == F.col("_r")) & (_prefix("h", high) == F.col("_p")), "left").drop("_r", "_p")
+        depth = depth + F.coalesce(F.col(f"{name}{high}"), F.lit(0))
+    rows = rows.withColumn(name, F.least(depth.cast("int"), F.lit(BITS)))
+    full = large.where(F.col("depth") == BITS).select("root", F.col("prefix").alias("h"))
+    return rows, None if BITS not in cuts or full.isEmpty() else full
+
+
+def _bits(depth: Column) -> Column:
+    padded = F.lpad(F.bin("h"), BITS, "0")
+    return F.when(depth == 0, "").otherwise(F.substring(padded, F.lit(1), depth))
+
+
+def shard(docs: DataFrame, carry: list[str], text: str = "text", key: str = "doc_id", limit: int = SHARD_BYTES) -> DataFrame:
+    """The ``carry`` columns with n_bytes, shard_depth and shard (its prefix bits, ``root`` for none) for every row."""
+    carry = store.free(carry, ["n_bytes", "shard_depth", "shard"])
+    keep = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")
+    rows = docs.select(*keep, F.lit(0).cast("long").alias("root"), hash_bits(key).alias("h"), size, F.col(key).alias("_key"), F.col(text).alias("_text"))
+    thin = store.written(rows.select("root", "h", "bytes"), "hashes")
+    carried = [f"_c{i}" for i in range(len(carry))]
+    placed, full = _with_depth(rows, thin, limit, "_d")
+    named = F.when(F.col("_d") == 0, "root").otherwise(_bits(F.col("_d")))
+    done = placed.select(*carried, "bytes", F.col("_d").alias("depth"), named.alias("shard"), "h", "_text")
+    out, rest = [], done
+    for kind in ("text", "place"):
+        if full is None:
+            break
+        over = full.select(F.col("h").alias("_h"), "root") if not out else full.select(F.col("h").alias("_h"), F.col("root").alias("_root"))
+        if not out:  # bits of the first directory are used up: go on by text
+            hot = rest.join(over.select("_h"), F.col("h") == F.col("_h"), "left_semi")
+            again = hot.select(*carried, "bytes", F.col("h").alias("root"), "shard", F.conv(F.substring(F.md5(F.coalesce("_text", F.lit(""))), 1, 15), 16, 10).cast("long").alias("h"))
+            rest = rest.join(over.select("_h"), F.col("h") == F.col("_h"), "left_anti")
+        else:  # equal rows: by place
+            same = (F.col("root") == F.col("_root")) & (F.col("h") == F.col("_h"))
+            hot = rest.join(over, same, "left_semi")
+            place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS)
+            again = hot.select(*carried, "bytes", F.xxhash64("root", "h").alias("root"), "shard", place.alias("h"))
+            rest = rest.join(over, same, "left_anti")
+        out.append(rest.select(*carried, "bytes", "depth", "shard"))
+        again = store.written(again, kind)
+        deep, full = _with_depth(again, again.select("root", "h", "bytes"), limit, "_d")
+        rest = deep.select(*carried, "bytes", F.lit(BITS).alias("depth"), F.concat("shard", F.lit("."), _bits(F.col("_d"))).alias("shard"), "root", "h")
+    out.append(rest.select(*carried, "bytes", "depth", "shard"))
+    every = out[0]
+    for part in out[1:]:
+        every = every.union(part)
+    return every.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("shard_depth"), "shard")
 
 
 #: DuckDB SQL for the shards of ``documents`` (distinct keys).
