@@ -14,8 +14,9 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 M64 = (1 << 64) - 1
-PRIME = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(PRIME, -1, 1 << 64)
+#: Odd multipliers of the two independent hashes ("lanes") that spans have.
+PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PRIME = PRIMES[0]
 
 #: Bytes that separate words: blank and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -24,22 +25,21 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME**i and PRIME**-i mod 2**64 for i < n."""
-    if len(_powers["up"]) < n:
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i mod 2**64 for i < n."""
+    if len(_powers.get(base, ())) < n:
         size = max(n, 2 * BLOCK)
-        for name, p in (("up", PRIME), ("down", INVERSE)):
-            out, have, step = np.empty(size, np.uint64), 1, p
-            out[0] = 1
-            while have < size:
-                k = min(have, size - have)
-                out[have : have + k] = out[:k] * np.uint64(step)
-                have, step = have + k, (step * step) & M64
-            _powers[name] = out
-    return _powers["up"][:n], _powers["down"][:n]
+        out, have, step = np.empty(size, np.uint64), 1, base
+        out[0] = 1
+        while have < size:
+            k = min(have, size - have)
+            out[have : have + k] = out[:k] * np.uint64(step)
+            have, step = have + k, (step * step) & M64
+        _powers[base] = out
+    return _powers[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -104,25 +104,24 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return spans(SPACE[buf], offs)
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(values) + 1)
+def prefix_sums(values: np.ndarray, lane: int = 0) -> np.ndarray:
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=out[1:])
+    np.cumsum(values * powers(PRIMES[lane], len(values)), out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """64-bit hashes of spans, the same wherever a span stands."""
-    _, down = powers(len(sums))
+    down = powers(pow(PRIMES[lane], -1, 1 << 64), len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def byte_sums(buf: np.ndarray) -> np.ndarray:
-    return prefix_sums(buf.astype(np.uint64) + np.uint64(1))
+def byte_sums(buf: np.ndarray, lane: int = 0) -> np.ndarray:
+    return prefix_sums(buf.astype(np.uint64) + np.uint64(1), lane)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(byte_sums(buf), starts, ends)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    return span_hashes(byte_sums(buf, lane), starts, ends, lane)
 
 
 def hash_word(word: bytes) -> int:
@@ -131,14 +130,14 @@ def hash_word(word: bytes) -> int:
     return int(mix(np.array([h & M64], np.uint64))[0])
 
 
-def window_hashes(values: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(values: np.ndarray, rows: np.ndarray, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions i and hashes of values[i:i+size] that lie within one row."""
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = prefix_sums(values)
+    sums = prefix_sums(values, lane)
     at = np.flatnonzero(rows[:n] == rows[size - 1 :])
-    return at, span_hashes(sums, at, at + size)
+    return at, span_hashes(sums, at, at + size, lane)
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -394,6 +394,20 @@ def brute_repeats(data, size=50):
     return sorted(out)
 
 
+def test_automaton_locates_every_occurrence():
+    rng = np.random.default_rng(9)
+    texts = [[f"w{x}" for x in rng.integers(0, 3, n)] for n in (200, 3, 0, 90)]
+    phrases = [" ".join(texts[0][i : i + 4]) for i in (5, 50, 51)] + ["w0 w0 w1 other"]
+    buf = np.frombuffer(" ".join(" ".join(t) for t in texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(" ".join(t)) + 1 for t in texts)])
+    offs[-1] = len(buf)
+    starts, ends, of = tx.words(buf, offs)
+    got = repeats.Automaton([p.encode() for p in phrases], 4).locate(tx.word_hashes(buf, starts, ends), of)
+    flat = [w for t in texts for w in t]
+    want = [i for i in range(len(flat) - 3) if of[i] == of[i + 3] and " ".join(flat[i : i + 4]) in phrases]
+    assert sorted(set(got.tolist())) == want and len(want) > 5
+
+
 @pytest.mark.parametrize("bucket", [1 << 12, 4 << 20])
 def test_repeats(spark, hostile, empty, bucket):
     rng = np.random.default_rng(7)
@@ -403,10 +417,13 @@ def test_repeats(spark, hostile, empty, bucket):
         b = base[rng.integers(4)]
         a, n = rng.integers(0, 200), rng.integers(40, 100)
         made.append((i, " ".join([*(f"u{x}" for x in rng.integers(0, 9000, 30)), *b[a : a + n], "a", "a", *["a"] * rng.integers(0, 130), *b[:55]])))
-    for df in (spark.createDataFrame(made, "doc_id long, text string"), spark.read.parquet(f"{SMALL}/documents.parquet"), hostile.where("doc_id IS NOT NULL AND doc_id <> 6")):
-        data = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        assert sorted(rows(repeats.remove_repeats(df, bucket_bytes=bucket))) == brute_repeats(data)
-    assert repeats.remove_repeats(hostile).count() == len(TEXTS) and rows(repeats.remove_repeats(empty)) == []
+    # null ids with passages of others, a long text, and one key with many texts
+    odd = hostile.select("doc_id", "text").union(spark.createDataFrame([(None, PASSAGE + " z"), (None, PASSAGE + " z"), *((20, f"{PASSAGE} {i}") for i in range(9)), (19, "x " * 70)], "doc_id long, text string"))
+    for df in (spark.createDataFrame(made, "doc_id long, text string"), spark.read.parquet(f"{SMALL}/documents.parquet"), odd):
+        data = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, bucket_bytes=bucket).collect()]
+        assert sorted(got) == brute_repeats(data)
+    assert rows(repeats.remove_repeats(empty)) == []
 
 
 def test_pipeline(spark):
