@@ -285,38 +285,6 @@ def test_components_of_a_long_chain(spark):
     assert got == dict.fromkeys(range(200), 0)
 
 
-def test_decontamination(spark, hostile, empty):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r.item_id: " ".join(r.text.split()) for r in bench.collect()}
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = {r.doc_id for r in docs.collect() if any(t in " ".join(r.text.split()) for t in items.values())}
-    got = decontaminate.flag(docs, bench)
-    assert {r.doc_id for r in got.where("n_items > 0").collect()} == want and len(want) > 5
-    halves = decontaminate.flag(docs, bench, index_bytes=3000)
-    assert sorted(rows(halves.select("doc_id", "n_items"))) == sorted(rows(got.select("doc_id", "n_items")))
-    assert decontaminate.flag(hostile, bench).count() == len(TEXTS) and rows(decontaminate.flag(empty, bench)) == []
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "IDIOT 123"), (None, "x")], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.flag(hostile, odd).where("n_items > 0").collect()} <= {7, 8}
-
-
-def test_wand_retrieves_all_above_threshold():
-    rng = np.random.default_rng(2)
-    vocab = [f"w{i}" for i in range(60)]
-    items = [" ".join(rng.choice(vocab, 12)) for _ in range(70)]
-    index = decontaminate.Index(list(range(70)), [s.encode() for s in items])
-    for _ in range(40):
-        text = " ".join([*rng.choice(vocab, 20), *items[rng.integers(70)].split()[: rng.integers(4, 13)]]).encode()
-        h, rows_, _ = decontaminate._words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        terms = {int(t) for t in index.find(h) if t >= 0}
-        score = np.zeros(70)
-        for t in terms:
-            p = slice(index.ptr[t], index.ptr[t + 1])
-            score[index.item[p]] += index.impact[p]
-        own = decontaminate._triples_all(h)
-        want = {i for i in range(70) if score[i] >= decontaminate.THRESHOLD and np.isin(index.question[i], own).mean() >= decontaminate.QUESTION_OVERLAP and np.isin(index.answer[i], own).mean() >= decontaminate.ANSWER_OVERLAP}
-        assert {m[1] for m in index.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)]))} == want
-
-
 def brute_nearest(vectors, k=20, every=20):
     out = {}
     for q, x in vectors.items():
