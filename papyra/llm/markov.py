@@ -9,15 +9,18 @@ text's likelihood is the exact forward sum over state paths times these.
 Counts of all words are aggregated over the corpus. Baum-Welch starts from a
 bounded sample and then takes PASSES full passes over all training texts, whose
 expected counts are summed across partitions (as fixed-point integers, so that
-the order of addition doesn't matter). In training a text is cut into segments
-of SEGMENT tokens with an initial distribution of their own; nothing is left out.
+the order of addition doesn't matter). A text is worked off in segments of SEGMENT
+tokens; the forward vector before a segment and the backward vector behind it come
+from the segments' transfer matrices, so the counts are those of the whole text.
 Scoring runs the scaled forward recursion over the whole text. The COMMON most
 frequent words have their counts broadcast (a fixed size); rarer words meet
 theirs in a join, one row per text and word.
 
 Defined results: null and empty texts are the end token alone; without training
-texts every token has the base probability of an unknown one; repeated rows are
-scored alike and all returned; other input columns are not carried along.
+texts every token has the base probability of an unknown one; a very long text is
+learned from and scored whole, in one block, at about 300 bytes a token; repeated
+rows and null keys are scored alike and all returned; an empty table gives no rows;
+other input columns, whatever their names, are not carried along.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ TAIL_BYTES = 4
 START_TEXTS = 1500
 START_ROUNDS = 12
 PASSES = 2
-SEGMENT = 256
+#: Tokens of a text that are worked off at once; of a text in the sample one such segment is taken.
+SEGMENT = 1024
 BATCH = 256
 SCALE = 1 << 20
 SMOOTH = 0.05
@@ -102,78 +106,118 @@ class Lexicon:
 
 
 class Model:
-    def __init__(self, initial, later, move, emit):
-        self.initial, self.later, self.move, self.emit = initial, later, move, emit  # emit: classes x states
+    def __init__(self, initial, move, emit):
+        self.initial, self.move, self.emit = initial, move, emit  # emit: classes x states
 
     @staticmethod
-    def of_counts(initial, later, move, emit) -> Model:
+    def of_counts(initial, move, emit) -> Model:
         norm = lambda x, axis: (x + SMOOTH) / (x + SMOOTH).sum(axis, keepdims=True)
-        return Model(norm(initial, 0), norm(later, 0), norm(move, 1), norm(emit, 0))
-
-
-def expect(model: Model, seqs: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of class sequences; starts[i]: sequence i begins a text."""
-    k = model.move.shape[0]
-    emit, move = np.zeros(model.emit.shape), np.zeros((k, k))
-    initial, later, loglik = np.zeros(k), np.zeros(k), 0.0
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    for at in range(0, len(order), BATCH):
-        ids = order[at : at + BATCH]
-        sizes = np.array([len(seqs[i]) for i in ids])
-        steps, b = int(sizes[0]), len(ids)
-        obs = np.zeros((steps, b), np.int64)
-        for j, i in enumerate(ids):
-            obs[: sizes[j], j] = seqs[i]
-        live = (sizes[None, :] > np.arange(steps)[:, None]).sum(1)
-        e = model.emit[obs]
-        alpha, scale = np.zeros((steps, b, k)), np.ones((steps, b))
-        a = np.where(starts[ids][:, None], model.initial, model.later) * e[0]
-        for t in range(steps):
-            n = live[t]
-            if t:
-                a = (a[:n] @ model.move) * e[t, :n]
-            s = a.sum(1)
-            scale[t, :n] = s
-            a /= s[:, None]
-            alpha[t, :n] = a
+        return Model(norm(initial, 0), norm(move, 1), norm(emit, 0))
+
+
+def _ragged(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of falling length: places step by step, how many runs each step has, and where steps begin."""
+    live = np.searchsorted(-length, -np.arange(length[0]), "left")
+    edge = np.r_[0, np.cumsum(live)]
+    step = np.repeat(np.arange(len(live)), live)
+    return first[np.arange(edge[-1]) - edge[step]] + step, live, edge
+
+
+def _transfer(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """What each segment makes of the state before it (k x k, up to a factor); one that opens a text starts afresh."""
+    k = len(model.move)
+    out = np.empty((len(first), k, k))
+    order = np.argsort(-length, kind="stable")
+    for some in np.split(order, range(BATCH, len(order), BATCH)):
+        at, live, edge = _ragged(first[some], length[some])
+        e = model.emit[flat[at]]
+        m = np.where(opens[some][:, None, None], np.tile(model.initial, (k, 1)), model.move)
+        for t, n in enumerate(live):
+            m[:n] = (m[:n] if t == 0 else (m[:n].reshape(-1, k) @ model.move).reshape(n, k, k)) * e[edge[t] : edge[t + 1], None, :]
+            m[:n] /= m[:n].max((1, 2), keepdims=True)
+        out[some] = m
+    return out
+
+
+def _borders(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarray, text: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the forward vector before it and the backward vector at its end."""
+    k = len(model.move)
+    before, after = np.tile(model.initial, (len(text), 1)), np.ones((len(text), k))
+    many = np.flatnonzero(np.bincount(text)[text] > 1)
+    if len(many):
+        move = _transfer(model, flat, first[many], length[many], number[many] == 0)
+        n, t = number[many], text[many]
+        by = np.argsort(n, kind="stable")
+        edge = np.searchsorted(n[by], np.arange(n.max() + 2))
+        for j in range(1, n.max() + 1):  # segments stand text by text, so the one before is the row before
+            here = by[edge[j] : edge[j + 1]]
+            v = np.einsum("bi,bij->bj", before[many[here - 1]], move[here - 1]) if j > 1 else move[here - 1][:, 0]
+            before[many[here]] = v / v.sum(1, keepdims=True)
+        for j in range(n.max() - 1, -1, -1):
+            here = by[edge[j] : edge[j + 1]]
+            here = here[(here + 1 < len(t)) & (t[np.minimum(here + 1, len(t) - 1)] == t[here])]
+            v = np.einsum("bij,bj->bi", move[here + 1], after[many[here + 1]])
+            after[many[here]] = v / v.max(1, keepdims=True)
+    return before, after
+
+
+def expect(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (initial, move, emit) of class sequences, none empty, and their log likelihood."""
+    k = len(model.move)
+    emit, move, initial, loglik = np.zeros(model.emit.shape), np.zeros((k, k)), np.zeros(k), 0.0
+    size, flat = np.array([len(s) for s in seqs]), np.concatenate(seqs)
+    pieces = -(-size // SEGMENT)
+    text = np.repeat(np.arange(len(seqs)), pieces)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = (np.cumsum(size) - size)[text] + number * SEGMENT
+    length = np.minimum(SEGMENT, size[text] - number * SEGMENT)
+    before, after = _borders(model, flat, first, length, text, number)
+    order = np.argsort(-length, kind="stable")
+    for some in np.split(order, range(BATCH, len(order), BATCH)):
+        at, live, edge = _ragged(first[some], length[some])
+        opens = number[some] == 0
+        e = model.emit[flat[at]]
+        alpha, scale = np.empty((len(at), k)), np.empty(len(at))
+        for t, n in enumerate(live):
+            now = slice(edge[t], edge[t + 1])
+            a = np.where(opens[:, None], model.initial, before[some] @ model.move) if t == 0 else alpha[edge[t - 1] : edge[t - 1] + n] @ model.move
+            a = a * e[now]
+            scale[now] = a.sum(1)
+            alpha[now] = a / scale[now, None]
         loglik += np.log(scale).sum()
-        beta, gamma = np.ones((b, k)), np.zeros((steps, b, k))
-        for t in range(steps - 1, -1, -1):
-            n = live[t]
-            if t + 1 < steps:
-                m = live[t + 1]
-                w = e[t + 1, :m] * beta[:m] / scale[t + 1, :m, None]
-                move += (alpha[t, :m].T @ w) * model.move
-                beta[:m] = w @ model.move.T
-            gamma[t, :n] = alpha[t, :n] * beta[:n]
-        first = starts[ids]
-        initial += gamma[0][first].sum(0)
-        later += gamma[0][~first].sum(0)
-        flat, g = obs.ravel(), gamma.reshape(-1, k)
+        last = edge[length[some] - 1] + np.arange(len(some))
+        beta = after[some] / (alpha[last] * after[some]).sum(1, keepdims=True)
+        gamma = np.empty((len(at), k))
+        for t in range(len(live) - 1, -1, -1):
+            now = slice(edge[t], edge[t + 1])
+            gamma[now] = alpha[now] * beta[: live[t]]
+            w = e[now] * beta[: live[t]] / scale[now, None]
+            if t:
+                move += (alpha[edge[t - 1] : edge[t - 1] + live[t]].T @ w) * model.move
+                beta[: live[t]] = w @ model.move.T
+            else:
+                move += (before[some][~opens].T @ w[~opens]) * model.move
+        initial += gamma[: live[0]][opens].sum(0)
         for j in range(k):
-            emit[:, j] += np.bincount(flat, weights=g[:, j], minlength=len(emit))
-    return initial, later, move, emit, loglik
+            emit[:, j] += np.bincount(flat[at], weights=gamma[:, j], minlength=len(emit))
+    return initial, move, emit, loglik
 
 
-def segments(classes: np.ndarray, rows: np.ndarray, size: int = SEGMENT) -> tuple[list[np.ndarray], np.ndarray]:
-    edges = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1], True])
-    seqs, starts = [], []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        for at in range(a, b, size):
-            seqs.append(classes[at : min(at + size, b)])
-            starts.append(at == a)
-    return seqs, np.array(starts, bool)
+def sequences(classes: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    return np.split(classes, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
 
 
 def _classes(lexicon):
+    """A segment of each text, chosen by the text's hash, as classes."""
+
     def run(batches):
         lex = lexicon.value
         for batch in batches:
             for part, buf, offs in tx.blocks(batch, "text", _BLOCK):
                 h, shape, rows = _tokens(buf, offs, part.num_rows)
                 c = lex.classify(lex.rank(h), shape).astype(np.int32)
-                cut = pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)), pa.int32())
-                yield pa.record_batch({"c": pa.ListArray.from_arrays(cut, pa.array(c))})
+                some = [s[i : i + SEGMENT] for s, x in zip(sequences(c, rows), part.column("th").to_pylist()) for i in [x % -(-len(s) // SEGMENT) * SEGMENT]]
+                yield pa.record_batch({"c": pa.array(some, pa.list_(pa.int32()))})
 
     return run
 
@@ -189,10 +233,9 @@ def _start(seqs: list[np.ndarray], classes: int, rng: np.random.Generator) -> Mo
         size = np.log(np.bincount(who, minlength=k) + 1.0)
         who = np.stack([np.bincount(d, weights=log[flat, j]) + size[j] for j in range(k)], 1).argmax(1)
     share = np.bincount(who, minlength=k) + 1.0
-    model = Model.of_counts(share, share, 0.9 * len(flat) / k * np.eye(k) + 0.1 * len(flat) / k / k, emit)
-    cut, starts = segments(flat, d)
+    model = Model.of_counts(share, 0.9 * len(flat) / k * np.eye(k) + 0.1 * len(flat) / k / k, emit)
     for _ in range(START_ROUNDS):
-        model = Model.of_counts(*expect(model, cut, starts)[:4])
+        model = Model.of_counts(*expect(model, seqs)[:3])
     return model
 
 
@@ -200,13 +243,13 @@ def _passes(shared):
     def run(batches):
         lex, model = shared.value
         k = model.move.shape[0]
-        total = [np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)]
+        total = [np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)]
         for batch in batches:
             for part, buf, offs in tx.blocks(batch, "text", _BLOCK):
                 h, shape, rows = _tokens(buf, offs, part.num_rows)
-                for x, y in zip(total, expect(model, *segments(lex.classify(lex.rank(h), shape), rows))):
+                for x, y in zip(total, expect(model, sequences(lex.classify(lex.rank(h), shape), rows))):
                     x += y
-        table = np.vstack([total[0][None], total[1][None], total[2], total[3]])
+        table = np.vstack([total[0][None], total[1], total[2]])
         some = np.flatnonzero(table.any(1))
         fixed = np.rint(table[some] * SCALE).astype(np.int64)
         yield pa.record_batch({"cell": some, **{f"s{j}": np.ascontiguousarray(fixed[:, j]) for j in range(k)}})
@@ -294,30 +337,35 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
 
     if n_all:
         texts = int(n[0])  # END closes each
-        drawn = F.pmod(F.xxhash64("th", F.lit("start")), F.lit(1 << 30)) < int(min(1.0, START_TEXTS / texts) * (1 << 30))
-        seqs = [x.as_py() for x in train.where(drawn).select("text").mapInArrow(_classes(spark.sparkContext.broadcast(lex)), "c array<int>").toArrow()["c"]]
-        seqs = [np.array(s, np.int64) for s in seqs] or [np.zeros(1, np.int64)]
+        # by row, so copies of a text are drawn no more often than others, and one for each text
+        drawn = F.pmod(F.xxhash64("doc_id", "th", F.lit("start")), F.lit(1 << 30)) < int(min(1.0, START_TEXTS / texts) * (1 << 30))
+        sample = train.where(drawn).select("th", "text").dropDuplicates(["th"])
+        got = sample.mapInArrow(_classes(spark.sparkContext.broadcast(lex)), "c array<int>").toArrow()["c"]
+        seqs = [np.asarray(x.values, np.int64) for x in got] or [np.zeros(1, np.int64)]
         model = _start(seqs, lex.classes, np.random.default_rng(0))
         for _ in range(passes):
             cells = train.select("text").mapInArrow(_passes(spark.sparkContext.broadcast((lex, model))), "cell long, " + ", ".join(f"s{j} long" for j in range(STATES)))
             got = cells.groupBy("cell").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(STATES))).toArrow()
-            table = np.zeros((2 + STATES + lex.classes, STATES))
+            table = np.zeros((1 + STATES + lex.classes, STATES))
             table[got["cell"].to_numpy()] = np.stack([got[f"s{j}"].to_numpy() for j in range(STATES)], 1) / SCALE
-            model = Model.of_counts(table[0], table[1], table[2 : 2 + STATES], table[2 + STATES :])
+            model = Model.of_counts(table[0], table[1 : 1 + STATES], table[1 + STATES :])
     else:
         flat = np.ones(STATES)
-        model = Model(flat / STATES, flat / STATES, np.ones((STATES, STATES)) / STATES, np.ones((lex.classes, STATES)))
+        model = Model(flat / STATES, np.ones((STATES, STATES)) / STATES, np.ones((lex.classes, STATES)))
 
     schema = f"doc_id {kind}, th long, held_out boolean, h long, n long, known long, base double, inner double"
     scored = store.written(rows.mapInArrow(_score(spark.sparkContext.broadcast((lex, model))), schema), "scored")
     rare = scored.where("h is not null").select("h", "doc_id", "th", "n").join(counts.select("h", F.col("n").alias("c")), "h", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("n")
-    part = rare.select("doc_id", "th", F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("rows"), F.lit(None).cast("long").alias("n"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), log.alias("base"), log.alias("inner"))
-    whole = scored.where("h is null").select("doc_id", "th", "held_out", F.lit(1).cast("long").alias("rows"), "n", "known", "base", "inner")
-    # copies of a row add up alike: their sums are divided by their number and each is returned
-    each = part.union(whole).groupBy("doc_id", "th").agg(F.max("held_out").alias("held_out"), F.sum("rows").alias("m"), F.max("n").alias("n_tokens"), *(F.sum(x).alias(x) for x in ("known", "base", "inner")))
+    part = rare.groupBy("doc_id", "th").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("r_known"), F.sum(log).alias("r_log"))
+    whole = scored.where("h is null")
+    # equal rows have added up the same words each: their sums are divided by their number
+    copies = whole.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.count("*").alias("m"))
+    part = part.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("d", "t", (F.col("r_known") / F.col("m")).cast("long").alias("r_known"), (F.col("r_log") / F.col("m")).alias("r_log"))
+    each = whole.join(part, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    more = lambda c, r: F.col(c) + F.coalesce(r, F.lit(0))
     d = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    return each.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") / F.col("m")).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("m") - F.col("n_tokens") * F.lit(d)).alias("base_score"), (F.col("inner") / F.col("m")).alias("score"),
+    return each.select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), more("known", "r_known").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        (more("base", "r_log") - F.col("n") * F.lit(d)).alias("base_score"), more("inner", "r_log").alias("score"),
     )

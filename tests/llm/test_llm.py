@@ -137,27 +137,6 @@ def test_markov_base_and_edges(spark, hostile, empty):
     assert rows(markov.score(empty, F.lit(False))) == []
 
 
-def test_markov_forward_sums_over_paths():
-    rng = np.random.default_rng(3)
-    k, c = 3, 4
-    p = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s))
-    m = markov.Model(p(k), p(k), p(k, k), np.ascontiguousarray(p(k, c).T))
-    seqs = [np.array([0, 3, 1, 2]), np.array([2, 2])]
-
-    def brute(s, first):
-        return sum(first[z[0]] * m.emit[s[0], z[0]] * math.prod(m.move[a, b] * m.emit[o, b] for a, b, o in zip(z, z[1:], s[1:])) for z in itertools.product(range(k), repeat=len(s)))
-
-    got = markov.forward(m, np.concatenate(seqs), np.array([0] * 4 + [1] * 2), 2)
-    assert got == pytest.approx([math.log10(brute(s, m.initial)) for s in seqs])
-    assert sum(brute(np.array(s), m.initial) for s in itertools.product(range(c), repeat=3)) == pytest.approx(1)
-    old = None
-    for _ in range(5):
-        *counts, ll = markov.expect(m, seqs * 3, np.array([True, True] * 3))
-        assert counts[0].sum() == pytest.approx(6) and counts[3].sum() == pytest.approx(18)
-        assert old is None or ll > old - 0.5
-        m, old = markov.Model.of_counts(*counts), ll
-
-
 def test_markov_beats_the_base(spark):
     got = QUERIES["op3_hidden_markov"](spark, SF).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
