@@ -7,9 +7,9 @@ differs by at most one bit, so each fingerprint is indexed under the 64 signatur
 
 Copies collapse first (one row per fingerprint). A signature shared by more than
 CROWD fingerprints is not paired up: its members get the two-bit deletion
-signatures instead. At most four fingerprints share one of these, and all lie
-within two bits of each other, so linking them to the least of them loses nothing,
-and work is linear in every group's size. Nothing is capped.
+signatures instead. All that share one of these lie within two bits of each other, so
+linking each to the next loses nothing, and work is linear in every group's size.
+Nothing is capped.
 
 Defined results: a text that is null or has no word has fingerprint zero and is
 linked like any other; fewer words than a shingle make one shingle of all; a very
@@ -183,17 +183,30 @@ def _two_bit(batches):
                 yield pa.record_batch({"sig": left.view(np.int64), "at": at, "fp": np.tile(fp, 63 - i).view(np.int64)})
 
 
+def _chain(batches):
+    """Of rows sorted by two-bit signature: each fingerprint and the next of its signature."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, at, fp = (batch.column(c).to_numpy() for c in ("sig", "at", "fp"))
+        if last is not None:
+            sig, at, fp = (np.r_[x, y] for x, y in zip(last, (sig, at, fp)))
+        last = sig[-1:], at[-1:], fp[-1:]
+        i = np.flatnonzero((sig[1:] == sig[:-1]) & (at[1:] == at[:-1]) & (fp[1:] != fp[:-1]))
+        yield pa.record_batch({"a": fp[i], "b": fp[i + 1]})
+
+
 def links(distinct: DataFrame, rows: int) -> DataFrame:
     """(a, b) links between ``rows`` distinct fingerprints ``fp`` that connect all within two bits."""
     n = store.partitions(distinct.sparkSession, 64 * rows, TASK_ROWS)
     sigs = distinct.select("fp").mapInArrow(_signatures, "sig long, fp long")
     met = store.written(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet, "a long, b long"), "met")
-    crowded = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    crowded = store.written(met.where("b is null").select(F.col("a").alias("fp")).distinct(), "crowded")
     keys = crowded.mapInArrow(_two_bit, "sig long, at int, fp long")
-    # a signature leaves two bits open: at most four fingerprints share one
-    groups = keys.groupBy("sig", "at").agg(F.array_sort(F.collect_set("fp")).alias("g")).where(F.size("g") > 1)
-    star = groups.select(F.col("g")[0].alias("a"), F.explode(F.slice("g", 2, 3)).alias("b"))
-    return met.where("b is not null").union(star)
+    n = store.partitions(distinct.sparkSession, 2016 * crowded.count(), TASK_ROWS)
+    chains = keys.repartition(n, "sig").sortWithinPartitions("sig", "at", "fp").mapInArrow(_chain, "a long, b long")
+    return met.where("b is not null").union(chains)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
