@@ -8,8 +8,11 @@ the n-grams of a block of texts and sums them per text in numpy.
 Characters are lower-cased; everything that is not a letter is a word border.
 Defined results: a text that is null or has no letter is ``und`` with score 0
 (so is every text if nothing could be learned); equal posteriors go to the
-language that comes first by code point; repeated rows are predicted alike, and
-columns of the input that clash with result names are not carried along.
+language that comes first by code point; a very long text is predicted whole, at
+about 40 bytes a character; repeated rows and null keys are predicted alike; an
+empty table gives no rows; more than MAX_LANGUAGES labels are an error, since the
+matrix would have no bound; other input columns, whatever their names, are not
+carried along.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ ORDERS = (1, 2, 3)
 #: Texts of one language that are learned from, about: the fit's sample bound.
 TRAIN_PER_LANGUAGE = 4000
 SMOOTHING = 0.5
+#: The matrix that is broadcast has at most BUCKETS x MAX_LANGUAGES entries.
+MAX_LANGUAGES = 256
 
 _letters: list[np.ndarray] = []
 
@@ -96,13 +101,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     whose hashed key falls below the share that makes about that many.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = dict(known.groupBy(F.col(lang).alias("l")).count().collect())
+    sizes = dict(known.groupBy(F.col(lang).alias("l")).count().limit(MAX_LANGUAGES + 1).collect())
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS + 1, 0))
-    share = F.lit(0.0)
-    for x in langs:
-        share = F.when(F.col(lang) == x, F.lit(min(1.0, per_language / sizes[x]))).otherwise(share)
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shares = F.create_map(*(F.lit(y) for x in langs for y in (x, min(1.0, per_language / sizes[x]))))
+    share = F.element_at(shares, F.col(lang))
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)
     sample = known.where(drawn).select(F.col(lang).alias("lang"), F.lower(F.col(text)).cast("binary").alias("text"))
     cells = sample.mapInArrow(_count(langs), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
