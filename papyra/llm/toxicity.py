@@ -9,8 +9,10 @@ and the sentence with the largest score locates the offence.
 
 Defined results: null and empty texts have no sentence and get score 0; nothing
 is learned without both classes (every score is then 0); a row whose key repeats
-in the labels takes the largest label; repeated rows score alike; other input
-columns, whatever their names, are not carried along.
+in the labels takes the largest label; a very long text is scored whole, at about 60
+bytes a word; of sentences that score alike the first is the worst; repeated rows and
+null keys score alike; an empty table gives no rows; other input columns, whatever
+their names, are not carried along (``without_toxic`` keeps them all).
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ PREFIX = 5
 MIN_TEXTS = 2
 MIN_LIFT = 3.0
 STEPS = 250
+RIDGE = 1e-5
 
 #: ASCII bytes other than letters and digits separate words; . ! ? and line ends close a sentence.
 APART = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -89,6 +92,42 @@ def _softplus(z):
     return np.logaddexp(0.0, z)
 
 
+class Bags:
+    """Labelled texts as pairs (text, sentence, feature); the other of a text's ``sentences`` have the bias alone."""
+
+    def __init__(self, label: np.ndarray, sentences: np.ndarray, text: np.ndarray, sentence: np.ndarray, feature: np.ndarray):
+        self.label, self.n = label, len(label)
+        self.names, self.col = np.unique(feature, return_inverse=True)
+        where, self.inst = np.unique(text.astype(np.int64) << 32 | sentence, return_inverse=True)
+        self.bag = where >> 32
+        self.plain = sentences - np.bincount(self.bag, minlength=self.n)
+        share = {x: max((label == x).sum(), 1) for x in (0, 1)}
+        self.weight = np.where(label == 1, self.n / 2 / share[1], self.n / 2 / share[0])
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """Mean weighted negative log likelihood under the noisy-or, with a small ridge, and its gradient by w and b."""
+        z = b + np.bincount(self.inst, weights=w[self.col], minlength=len(self.bag))
+        total = np.bincount(self.bag, weights=_softplus(z), minlength=self.n) + self.plain * _softplus(b)
+        total = np.clip(total, 1e-9, 50)
+        each = np.where(self.label == 1, -np.log(-np.expm1(-total)), total)
+        g = self.weight * np.where(self.label == 1, -1.0 / np.expm1(total), 1.0) / self.n
+        gz = g[self.bag] / (1 + np.exp(-z))
+        by_w = np.bincount(self.col, weights=gz[self.inst], minlength=len(self.names)) + RIDGE * w
+        return float((self.weight * each).mean() + RIDGE / 2 * (w @ w)), np.append(by_w, gz.sum() + (g * self.plain).sum() / (1 + np.exp(-b)))
+
+
+def learn(*bags) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features, their weights and the bias, by Adam from zero weights."""
+    data = Bags(*bags)
+    x = np.append(np.zeros(len(data.names)), -6.0)
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    for step in range(1, STEPS + 1):
+        grad = data.loss(x[:-1], x[-1])[1]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        x = x - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return data.names, x[:-1], float(x[-1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: dict[int, int] = TRAIN_PER_CLASS) -> tuple[np.ndarray, float] | None:
     """Feature weights and bias, or None if a class is missing.
 
@@ -116,24 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     few = bags.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(chosen)), bags.schema).toArrow()
     store.drop(docs.sparkSession, bags)
     label_of, sentences = few["toxic"].to_numpy(), few["n"].to_numpy()
-    n = len(label_of)
     f, s = (np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in few[c].chunks)]) for c in "fs")
-    d = np.repeat(np.arange(n), np.concatenate([np.diff(x.offsets.to_numpy()) for x in few["f"].chunks]))
-    names, col = np.unique(f, return_inverse=True)
-    where, inst = np.unique(d.astype(np.int64) << 32 | s, return_inverse=True)
-    bag = where >> 32
-    plain = sentences - np.bincount(bag, minlength=n)  # sentences of which only the bias is known
-    w, b, m, v = np.zeros(len(names)), -6.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    weight = np.where(label_of == 1, n / 2 / (label_of == 1).sum(), n / 2 / (label_of == 0).sum())
-    for step in range(1, STEPS + 1):
-        z = b + np.bincount(inst, weights=w[col], minlength=len(where))
-        total = np.bincount(bag, weights=_softplus(z), minlength=n) + plain * _softplus(b)
-        g = weight * np.where(label_of == 1, -1.0 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) / n
-        gz = g[bag] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(col, weights=gz[inst], minlength=len(names)) + 1e-5 * w, gz.sum() + (g * plain).sum() / (1 + np.exp(-b)))
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+    d = np.repeat(np.arange(len(label_of)), np.concatenate([np.diff(x.offsets.to_numpy()) for x in few["f"].chunks]))
+    names, w, b = learn(label_of, sentences, d, s, f)
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = w
     return weights, float(b)
