@@ -183,7 +183,7 @@ def _streamed(batches, open_shard, feed, close):
             last = shard, key[-1], th[-1]
             docs = rows.filter(pa.array(new & (kind == 2)))
             if held and docs.num_rows:
-                state = state or open_shard(held)
+                state = open_shard(held) if state is None else state
                 for block in tx.blocks(docs, "data"):
                     yield from feed(state, *block)
     if state is not None:

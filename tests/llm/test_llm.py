@@ -366,10 +366,12 @@ def test_repeats(spark, hostile, empty, bucket):
         made.append((i, " ".join([*(f"u{x}" for x in rng.integers(0, 9000, 30)), *b[a : a + n], "a", "a", *["a"] * rng.integers(0, 130), *b[:55]])))
     # null ids with passages of others, a long text, and one key with many texts
     odd = hostile.select("doc_id", "text").union(spark.createDataFrame([(None, PASSAGE + " z"), (None, PASSAGE + " z"), *((20, f"{PASSAGE} {i}") for i in range(9)), (19, "x " * 70)], "doc_id long, text string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if bucket > 1 << 12 else "10000")
     for df in (spark.createDataFrame(made, "doc_id long, text string"), spark.read.parquet(f"{SMALL}/documents.parquet"), odd):
         data = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, bucket_bytes=bucket).collect()]
         assert sorted(got) == brute_repeats(data)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert rows(repeats.remove_repeats(empty)) == []
 
 
