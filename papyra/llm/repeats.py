@@ -310,12 +310,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
 
     anchors = survey.where("size(h) > 0").join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "th", F.explode(F.arrays_zip("h", "g", "pos")).alias("a")).select("a.h", "a.g", "doc_id", "th", "a.pos")
     # counted with map-side sums, then met in joins that can be split: a common anchor is no single task
-    seen = anchors.groupBy("h", "g").agg(F.max("doc_id").alias("y"), F.min(F.struct("doc_id", "th", "pos")).alias("x")).where("x.doc_id < y")
-    recurring = store.written(seen.select("h", "g", "x.*"), "recurring")
-    asked = recurring.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h", "g")).alias("asked"))
+    seen = anchors.groupBy("h", "g").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h", "g", "x")
+    recurring = store.written(anchors.join(seen, ["h", "g"]), "recurring")
+    asked = recurring.where("doc_id = x").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h", "g")).alias("asked"))
     words = rows.join(asked, ["doc_id", "th"]).mapInArrow(_phrases(phrase), "h long, g long, words binary")
     phrases = store.written(words.groupBy("h", "g").agg(F.max("words").alias("words")), "phrases")
-    told = anchors.select("h", "g", bucket).distinct().join(phrases, ["h", "g"])
+    told = recurring.select("h", "g", bucket).distinct().join(phrases, ["h", "g"])
 
     no, number = F.lit(None).cast("long"), F.lit(None).cast("binary")
     dealt = rows.select(bucket, "doc_id", "th", F.lit(2).alias("kind"), F.col("text").alias("data"))
