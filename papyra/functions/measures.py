@@ -42,12 +42,14 @@ def entropy(dist: Column) -> Column:
 def npmi(n1: Column, n2: Column, n12: Column, n: Column, eps: float = EPS) -> Column:
     """Normalised pointwise mutual information within [-1, 1].
 
-    -1 for words that never meet; 1 for a pair in every document, where the
-    quotient has no value.
+    -1 where any of the three probabilities is under ``eps``; 1 for a pair in every
+    document, where the quotient has no value.
     """
-    p12 = n12 / n
-    value = F.ln((p12 + eps) / ((n1 / n) * (n2 / n) + eps)) / -F.ln(F.nullif(p12, F.lit(1.0)) + eps)
-    return F.when(F.coalesce(n12, F.lit(0)) == 0, -1.0).when(n12 == n, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    p1, p2, p12 = n1 / n, n2 / n, n12 / n
+    some = lambda p: F.coalesce(p, F.lit(0.0)) >= eps
+    value = F.ln(p12 / (p1 * p2)) / -F.ln(F.nullif(p12, F.lit(1.0)))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+    return F.when(~(some(p12) & some(p1) & some(p2)), -1.0).when(n12 == n, 1.0).otherwise(bounded)
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -63,6 +65,16 @@ def percent_floor(x: Column, n: Column) -> Column:
     return F.floor(F.lit(100) * x / F.nullif(n, F.lit(0))).cast("long")
 
 
+def heat(x: Column, most: Column) -> Column:
+    """Intensity of a cell of a heat map, by the square root of its share of the largest."""
+    return F.coalesce(F.sqrt(x / F.nullif(most.cast("double"), F.lit(0.0))), F.lit(0.0))
+
+
+def fill(weight: Column, full: float = 0.6) -> Column:
+    """Opacity of a block by a topic's weight: from 0.1 to 1, reached at ``full``."""
+    return F.lit(0.1) + F.lit(0.9) * F.least(F.lit(1.0), weight / F.lit(full))
+
+
 def argmax(values: Column) -> Column:
     """0-based position of the largest entry; the first of ties."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
+from papyra import store
 
-
-def depths(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def depths(edges: DataFrame) -> DataFrame:
     """(code, depth, path) of every code that hangs below a root; roots have depth 1.
 
-    One join per level, on a taxonomy that is far smaller than any corpus; a
-    code's own path stops loops.
+    One join per level until a level is empty; levels are written, so no lineage
+    grows, and a code's own path stops loops. A code with several parents comes once,
+    on its least shortest path.
     """
-    level = edges.where("parent IS NULL").select("code", F.lit(1).alias("depth"), F.array("code").alias("path"))
+    level = edges.where("parent IS NULL").select("code", F.lit(1).alias("depth"), F.array("code").alias("path")).distinct()
+    level = store.written(level, "level")
     out = level
-    for _ in range(max_depth - 1):
+    while not level.isEmpty():
         up = level.select(F.col("code").alias("parent"), "depth", "path")
-        level = edges.join(up, "parent").where(~F.array_contains("path", F.col("code"))).select("code", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("code")).alias("path"))
+        below = edges.join(up, "parent").where(~F.array_contains("path", F.col("code")))
+        below = below.groupBy("code").agg((F.min("depth") + 1).alias("depth"), F.min(F.concat("path", F.array("code"))).alias("path"))
+        level = store.written(below.join(out.select("code"), "code", "left_anti"), "level")
         out = out.union(level)
     return out
 
 
-def leaves(edges: DataFrame, max_level: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Candidate labels: codes at ``max_level``, and childless ones above it, with their ancestors l1..l3."""
-    d = depths(edges, max_depth).where(F.col("depth") <= max_level)
+def leaves(edges: DataFrame, max_level: int, known: DataFrame | None = None) -> DataFrame:
+    """Candidate labels: codes at ``max_level``, and childless ones above it, with their ancestors l1..l3.
+
+    ``known``: the result of ``depths``, if it is there already.
+    """
+    d = (depths(edges) if known is None else known).where(F.col("depth") <= max_level)
     parents = edges.where("parent IS NOT NULL").select(F.col("parent").alias("code")).distinct()
     childless = d.where(F.col("depth") < max_level).join(parents, "code", "left_anti")
     both = d.where(F.col("depth") == max_level).unionByName(childless)
@@ -33,10 +39,15 @@ def leaves(edges: DataFrame, max_level: int, max_depth: int = MAX_DEPTH) -> Data
     return both.select("code", level(0).alias("l1"), level(1).alias("l2"), level(2).alias("l3"))
 
 
-def rollup(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def families(leaves: DataFrame) -> DataFrame:
+    """(l1, codes): the candidate labels of each first-level family, in order."""
+    return leaves.groupBy("l1").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def rollup(edges: DataFrame) -> DataFrame:
     """(code, root) for every code; the root is null where the chain breaks or loops."""
     codes = edges.select("code").distinct()
-    roots = depths(edges, max_depth).select("code", F.element_at("path", 1).alias("root"))
+    roots = depths(edges).select("code", F.element_at("path", 1).alias("root"))
     return codes.join(roots, "code", "left")
 
 

@@ -11,14 +11,15 @@ from papyra.operators import batching, taxonomy, trials
 
 from .registry import query
 
-CUTOFF = 9000
-EDGES = f"""
+EDGES = """
 WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS code, NULL::VARCHAR AS parent FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
-  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_acctbal > {CUTOFF}
-  {{more}}),
+  UNION ALL SELECT * FROM (VALUES ('n98', 'r0'), ('n99', 'r1')) v
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+  {more}),
 p AS (SELECT code, 1 AS depth, [code] AS path FROM e WHERE parent IS NULL
-  UNION ALL SELECT e.code, p.depth + 1, list_append(p.path, e.code) FROM e JOIN p ON e.parent = p.path[-1] WHERE NOT list_contains(p.path, e.code) AND p.depth < 8)
+  UNION ALL SELECT e.code, p.depth + 1, list_append(p.path, e.code) FROM e JOIN p ON e.parent = p.path[-1] WHERE NOT list_contains(p.path, e.code))
 """
 BASE = EDGES.replace("{more}", "")
 SETS = """
@@ -35,10 +36,12 @@ JOINED = "WITH z AS (SELECT 1)" + ROOTS
 
 
 def edges(t, more: bool = False):
+    """Regions, nations (two without anything below), and all suppliers and customers."""
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     out = t.region.select(key("r", "r_regionkey").alias("code"), F.lit(None).cast("string").alias("parent"))
     out = out.union(t.nation.select(key("n", "n_nationkey"), key("r", "n_regionkey")))
-    out = out.union(t.supplier.where(F.col("s_acctbal") > CUTOFF).select(key("s", "s_suppkey"), key("n", "s_nationkey")))
+    out = out.union(t.spark.createDataFrame([("n98", "r0"), ("n99", "r1")], "code string, parent string"))
+    out = out.union(t.supplier.select(key("s", "s_suppkey"), key("n", "s_nationkey"))).union(t.customer.select(key("c", "c_custkey"), key("n", "c_nationkey")))
     if more:
         out = out.union(t.spark.createDataFrame([("x1", "gone"), ("y1", "y2"), ("y2", "y1")], "code string, parent string"))
     return out
@@ -73,7 +76,8 @@ def taxonomy_depth(t):
 @query(BASE + "SELECT m AS max_level, code, coalesce(path[1], '') AS l1, coalesce(path[2], '') AS l2, coalesce(path[3], '') AS l3 FROM p, (VALUES (2), (3)) v(m) WHERE depth = m OR (depth < m AND code NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL))")
 def taxonomy_leaves(t):
     e = edges(t)
-    one = lambda m: taxonomy.leaves(e, m).select(F.lit(m).alias("max_level"), "code", "l1", "l2", "l3")
+    known = taxonomy.depths(e)
+    one = lambda m: taxonomy.leaves(e, m, known).select(F.lit(m).alias("max_level"), "code", "l1", "l2", "l3")
     return one(2).union(one(3))
 
 
@@ -88,15 +92,16 @@ def cascade_stage_index(t):
 
 
 _ROUTE = BASE + f""", s AS (SELECT code, (SELECT count(*) FROM e WHERE e.parent = p.code) AS k FROM p WHERE depth = 2),
-r AS (SELECT CASE WHEN c_acctbal < 0 THEN 'unassigned' WHEN s.k > 0 THEN 'branch' ELSE 'terminal' END AS route FROM orders JOIN customer ON o_custkey = c_custkey JOIN s ON s.code = 'n' || c_nationkey)
+r AS (SELECT CASE WHEN c_acctbal < 0 THEN 'unassigned' WHEN s.k > 0 THEN 'branch' ELSE 'terminal' END AS route FROM orders JOIN customer ON o_custkey = c_custkey JOIN s ON s.code = CASE WHEN c_nationkey % 5 = 0 THEN 'n98' ELSE 'n' || c_nationkey END)
 SELECT route, count(*) AS n FROM r GROUP BY 1"""
 
 
 @query(_ROUTE)
 def cascade_routing(t):
     """After stage 1: terminal labels are done, branches go on; here customers in debt have no label."""
-    stage = F.broadcast(taxonomy.stage_index(edges(t)))
-    who = t.customer.select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("l2"), "c_acctbal")
+    stage = taxonomy.stage_index(edges(t))
+    l2 = F.when(F.col("c_nationkey") % 5 == 0, "n98").otherwise(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))
+    who = t.customer.select("c_custkey", l2.alias("l2"), "c_acctbal")
     rows = t.orders.select("o_custkey").join(who, F.col("o_custkey") == F.col("c_custkey")).join(stage, "l2")
     return rows.groupBy(F.when(F.col("c_acctbal") < 0, "unassigned").when(F.col("terminal"), "terminal").otherwise("branch").alias("route")).agg(F.count("*").alias("n"))
 
@@ -220,25 +225,45 @@ def stratified_quota(t):
 
 
 _BANDS = "CASE WHEN n < 2 THEN 'hapax' WHEN n < 10 THEN 'rare' WHEN n < 100 THEN 'medium' ELSE 'frequent' END"
+_DECOYS = f"""
+WITH u AS (SELECT DISTINCT l_orderkey AS article, l_suppkey AS label FROM lineitem), f AS (SELECT label, count(*) AS n FROM u GROUP BY 1), b AS (SELECT label, {_BANDS} AS band FROM f),
+own AS (SELECT * FROM u JOIN b USING (label)), a AS (SELECT article, arg_min(band, label) AS band FROM own GROUP BY 1), m AS (SELECT article, band, count(*) AS mine FROM own GROUP BY 1, 2),
+p AS (SELECT band, label, row_number() OVER (PARTITION BY band ORDER BY md5('7|' || label), label) - 1 AS place, count(*) OVER (PARTITION BY band) AS size FROM b),
+s AS (SELECT article, band, size, ('0x' || substr(md5('7|' || article), 1, 15))::BIGINT % size AS start, unnest(range(0, least(mine, size - 1) + 1)) AS step FROM a JOIN m USING (article, band) JOIN (SELECT DISTINCT band, size FROM p) USING (band)),
+c AS (SELECT * FROM (SELECT s.article, step, p.label FROM s JOIN p ON p.band = s.band AND p.place = (start + step) % s.size) x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.article = x.article AND u.label = x.label)),
+d AS (SELECT a.article, a.band, x.decoy FROM a LEFT JOIN (SELECT article, arg_min(label, step) AS decoy FROM c GROUP BY 1) x USING (article))
+"""
 
 
-@query(f"""
-WITH u AS (SELECT DISTINCT l_orderkey AS article, l_suppkey AS label FROM lineitem WHERE l_orderkey < 300), f AS (SELECT label, count(*) AS n FROM u GROUP BY 1), b AS (SELECT label, {_BANDS} AS band FROM f),
-a AS (SELECT article, arg_min(band, label) AS band FROM u JOIN b USING (label) GROUP BY 1)
-SELECT a.article, (SELECT arg_min(b.label, md5('7|' || a.article || '|' || b.label)) FROM b WHERE b.band = a.band AND NOT EXISTS (SELECT 1 FROM u WHERE u.article = a.article AND u.label = b.label)) AS decoy FROM a""")
+def _uses(t):
+    """Every article's labels, and the labels' bands by counts over all articles."""
+    u = t.lineitem.select(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("label")).distinct()
+    return u, u.groupBy("label").agg(F.count("*").alias("n")).select("label", X.band("n").alias("band"))
+
+
+@query(_DECOYS + "SELECT article, decoy FROM d")
 def decoy_candidates(t):
-    """For each article, a label of its band that it doesn't have; bands by counts over all articles.
+    """For each article, a label of its band that it doesn't have."""
+    return trials.decoys(*_uses(t), "7")
 
-    The SQL still reads the articles below 300 only, and draws by another lot.
-    """
-    u = t.lineitem.select(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("label")).distinct()
-    b = u.groupBy("label").agg(F.count("*").alias("n")).select("label", X.band("n").alias("band"))
-    return trials.decoys(u, b, "7")
+
+@query(_DECOYS + """,
+q AS (SELECT 60 // count(DISTINCT band) AS quota FROM a), k AS (SELECT article, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('7|' || article), article) AS r FROM a) WHERE r <= (SELECT quota FROM q)),
+o AS (SELECT k.article, arg_min(u.label, md5('7t|' || k.article || '|' || u.label)) AS own FROM k JOIN u ON u.article = k.article GROUP BY 1),
+z AS (SELECT k.article, k.band, o.own, d.decoy, ('0x' || substr(md5('7c|' || k.article), 1, 1))::INT % 2 = 0 AS is_true FROM k JOIN o ON o.article = k.article JOIN d ON d.article = k.article),
+y AS (SELECT article, band, is_true, CASE WHEN is_true THEN own ELSE decoy END AS label FROM z)
+SELECT printf('B%03d', row_number() OVER (ORDER BY md5('7o|' || article), article)) AS item, article, label, is_true, band FROM y WHERE label IS NOT NULL""")
+def trial_items(t):
+    """A blind trial: bands share sixty items, a coin shows a true label or a decoy."""
+    return trials.kit(*_uses(t), 60, "7")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT DISTINCT l_orderkey AS article, l_suppkey AS label FROM lineitem WHERE (l_orderkey, l_suppkey) NOT IN (SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
 def anti_already_judged(t):
-    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    """Labels of articles, without the pairs that are judged already (here: those of returned lines)."""
+    pair = [F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("label")]
+    judged = t.lineitem.where("l_returnflag = 'R'").select(*pair)
+    return t.lineitem.select(*pair).distinct().join(judged, ["article", "label"], "left_anti")
 
 
 _W = "coalesce(yes / nullif(n::DOUBLE, 0), 0)"

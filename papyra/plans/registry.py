@@ -15,7 +15,7 @@ TOK = "(floor(length(coalesce({0}, '')) / 3.5) + 1)::BIGINT"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Texts of fewer splits than cores are dealt out, since each is exploded into many words; larger inputs stay as read."""
+    """Texts of fewer splits than cores are dealt out before each is exploded into many words; larger inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -27,8 +27,11 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return spread(df) if name == "documents" else df
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def texts(self, *columns: str) -> DataFrame:
+        """``columns`` of ``documents``, for queries that take every text apart."""
+        return spread(self.documents.select(*columns))
 
 
 def query(sql: str | None = None):

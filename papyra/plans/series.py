@@ -10,6 +10,7 @@ from papyra.functions import text as X
 from papyra.operators import labelling, learning, neighbours, trials
 from papyra.streaming import windows
 
+from .labels import JOINED, confusion_matrix
 from .registry import query
 
 
@@ -109,34 +110,39 @@ def knn_mixing_welch(t):
     return m.agg(r(F.avg(side("d", True)), "dist_in"), r(F.avg(side("d", False)), "dist_out"), r(F.avg(a), "mix_in"), r(F.avg(b), "mix_out"), F.round(welch, 7).alias("t"))
 
 
-_BOXES = "SELECT p_partkey AS id, p_brand AS page, (p_partkey % 40)::DOUBLE AS l, (p_partkey % 17)::DOUBLE AS t, (p_partkey % 40 + p_size)::DOUBLE AS r, (p_partkey % 17 + 10)::DOUBLE AS b FROM part"
+_BOXES = "SELECT p_partkey AS id, p_partkey // 200 AS issue, p_brand AS page, (p_partkey % 40)::DOUBLE AS l, (p_partkey % 17)::DOUBLE AS t, (p_partkey % 40 + p_size)::DOUBLE AS r, (p_partkey % 17 + 10)::DOUBLE AS b FROM part"
 
 
 def _boxes(t):
     p = F.col("p_partkey")
-    return t.part.select(p.alias("id"), F.col("p_brand").alias("page"), (p % 40).cast("double").alias("l"), (p % 17).cast("double").alias("t"), (p % 40 + F.col("p_size")).cast("double").alias("r"), (p % 17 + 10).cast("double").alias("b"))
+    return t.part.select(p.alias("id"), F.floor(p / 200).alias("issue"), F.col("p_brand").alias("page"), (p % 40).cast("double").alias("l"), (p % 17).cast("double").alias("t"), (p % 40 + F.col("p_size")).cast("double").alias("r"), (p % 17 + 10).cast("double").alias("b"))
 
 
 @query(f"""
 WITH x AS ({_BOXES}), a AS (SELECT * FROM x WHERE id % 2 = 0), b AS (SELECT * FROM x WHERE id % 2 = 1),
-j AS (SELECT a.id AS a_id, b.id AS b_id, greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.b, b.b) - greatest(a.t, b.t)) AS i, (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) AS u FROM a LEFT JOIN b ON a.page = b.page),
+j AS (SELECT a.id AS a_id, b.id AS b_id, greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.b, b.b) - greatest(a.t, b.t)) AS i, (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) AS u FROM a LEFT JOIN b ON a.page = b.page AND a.issue = b.issue),
 v AS (SELECT a_id, b_id, CASE WHEN u - i > 0 THEN i / (u - i) ELSE 0 END AS iou FROM j),
 m AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY coalesce(iou, 0) DESC, b_id) AS k FROM v)
 SELECT a_id, CASE WHEN iou > 0 THEN b_id END AS b_id, round(coalesce(iou, 0), 9) AS iou FROM m WHERE k = 1""")
 def iou_match(t):
-    """Within a page, the box that overlaps best; none if no box overlaps.
+    """Within a page, the box that overlaps best; none if no box overlaps."""
+    boxes = _boxes(t)
+    best = boxes_met(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), ["issue", "page"], 25.0, 10.0)
+    return boxes.where("id % 2 = 0").select(F.col("id").alias("a_id")).join(best, "a_id", "left").select("a_id", "b_id", F.round(F.coalesce("iou", F.lit(0.0)), 9).alias("iou"))
 
-    Only overlapping pairs of one page meet: pages are cut into vertical stripes
-    as wide as the widest box, and a box is matched in the stripes it touches.
+
+def boxes_met(a, b, page, wide, high):
+    """(a_id, b_id, iou): each box's best overlap, ties to the smaller id.
+
+    Only boxes of one page that touch a common cell meet; cells are about as large as
+    a box, so a box lies in a few of them.
     """
-    boxes, wide = _boxes(t), 50.0
-    stripe = lambda: F.explode(F.sequence(F.floor(F.col("l") / wide), F.floor(F.col("r") / wide))).alias("s")
-    a = boxes.where("id % 2 = 0").select(F.col("id").alias("a_id"), "page", F.struct("l", "t", "r", "b").alias("x"), stripe())
-    b = boxes.where("id % 2 = 1").select(F.col("id").alias("b_id"), "page", F.struct("l", "t", "r", "b").alias("y"), stripe())
+    line = lambda lo, hi, step: F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))
+    cells = lambda df, k, v: df.select(F.col("id").alias(k), *page, F.struct("l", "t", "r", "b").alias(v), F.explode(line("l", "r", wide)).alias("cx"), line("t", "b", high).alias("ys")).withColumn("cy", F.explode("ys")).drop("ys")
     side = lambda c: {k: F.col(f"{c}.{k}") for k in "ltrb"}
-    met = a.join(b, ["page", "s"]).select("a_id", "b_id", M.iou(side("x"), side("y")).alias("iou")).where("iou > 0")
+    met = cells(a, "a_id", "x").join(cells(b, "b_id", "y"), [*page, "cx", "cy"]).select("a_id", "b_id", M.iou(side("x"), side("y")).alias("iou")).where("iou > 0")
     best = met.groupBy("a_id").agg(F.max(F.struct("iou", (-F.col("b_id")).alias("n"))).alias("m"))
-    return boxes.where("id % 2 = 0").select(F.col("id").alias("a_id")).join(best, "a_id", "left").select("a_id", (-F.col("m.n")).alias("b_id"), F.round(F.coalesce("m.iou", F.lit(0.0)), 9).alias("iou"))
+    return best.select("a_id", (-F.col("m.n")).alias("b_id"), "m.iou")
 
 
 @query("SELECT p_partkey AS id, greatest(0, p_partkey % 40 - 4) AS l, greatest(0, p_partkey % 17 - 4) AS t, least(60, p_partkey % 40 + p_size + 4) AS r, least(24, p_partkey % 17 + 10 + 4) AS b FROM part WHERE p_type <> 'SMALL'")
@@ -179,13 +185,14 @@ def run_recap(t):
 
 
 @query("""
-WITH g AS (SELECT l.lang, s.source FROM (SELECT DISTINCT lang FROM documents) l, (SELECT DISTINCT source FROM documents) s), d AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS mean FROM documents WHERE n_chars > 3000 GROUP BY 1, 2)
+WITH g AS (SELECT l.lang, s.source FROM (SELECT DISTINCT lang FROM documents) l, (SELECT DISTINCT source FROM documents) s), d AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS mean FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1, 2)
 SELECT lang, source, coalesce(n, 0) AS n, round(mean, 6) AS mean FROM g FULL JOIN d USING (lang, source)
 UNION ALL SELECT lang, 'all', sum(n)::BIGINT, round(avg(mean), 6) FROM d GROUP BY 1""")
 def full_outer_grid(t):
     """Absent cells stay, as zero and blank; the mean of a language is the mean of its sources' means."""
-    d = t.documents.where("n_chars > 3000").groupBy("lang", "source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("m"))
-    grid = t.documents.select("lang").distinct().crossJoin(F.broadcast(t.documents.select("source").distinct()))
+    measured = t.documents.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    d = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("m"))
+    grid = t.documents.select("lang").distinct().crossJoin(t.documents.select("source").distinct())
     cells = grid.join(d, ["lang", "source"], "full").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.round("m", 6).alias("mean"))
     return cells.union(d.groupBy("lang").agg(F.sum("n").alias("n"), F.round(F.avg("m"), 6).alias("mean")).select("lang", F.lit("all"), "n", "mean"))
 
@@ -217,12 +224,12 @@ def stream_window_counts(t):
 
 @query()
 def kmeans_groups(t):
-    return learning.kmeans(t.embeddings, k=10, tries=3)
+    return learning.kmeans(t.embeddings, k=10)
 
 
 @query()
 def lda_topics(t):
-    return learning.lda(t.documents.select("doc_id", X.normalised("text", min_len=3).alias("tokens")), k=8, max_iter=5)
+    return learning.lda(t.texts("doc_id", "text").select("doc_id", X.normalised("text", min_len=3).alias("tokens")), k=8)
 
 
 @query()
@@ -235,15 +242,35 @@ def density_groups(t):
     return learning.density(t.embeddings, radius=1.12, least=4)
 
 
-@query()
-def greedy_match(t):
-    from .labels import confusion_matrix
+_CELLS = JOINED + """, ce AS (SELECT first AS a, enc AS b, count(*) AS n FROM j GROUP BY 1, 2),
+lf AS (SELECT a, row_number() OVER (ORDER BY sum(n) DESC, a) AS p FROM ce GROUP BY 1), rg AS (SELECT b, row_number() OVER (ORDER BY sum(n) DESC, b) AS q FROM ce GROUP BY 1)
+"""
+
 
-    cells = confusion_matrix(t).orderBy("row", "col").collect()
-    return t.spark.createDataFrame(trials.greedy_match([(r["row"], r["col"], r["n"]) for r in cells]), "row int, col int, n long")
+def _cells(t):
+    return sorted((r["row"], r["col"], r["n"]) for r in confusion_matrix(t).collect())
+
+
+@query("WITH RECURSIVE" + _CELLS.strip().removeprefix("WITH") + """, x AS (SELECT rg.q, rg.b, lf.a, lf.p, coalesce(ce.n, 0) AS n FROM rg CROSS JOIN lf LEFT JOIN ce ON ce.a = lf.a AND ce.b = rg.b),
+m AS (SELECT 0::BIGINT AS q, NULL::INT AS b, NULL::INT AS a, []::INT[] AS used
+  UNION ALL SELECT * FROM (SELECT x.q, x.b, x.a, list_append(m.used, x.a) AS used FROM m JOIN x ON x.q = m.q + 1 WHERE NOT list_contains(m.used, x.a)
+    ORDER BY x.n DESC, x.p LIMIT 1))
+SELECT b, a FROM m WHERE q > 0""")
+def greedy_match(t):
+    """Each group of the second partition and the one of the first that it takes."""
+    return t.spark.createDataFrame(list(trials.match_groups(_cells(t)).items()), "b int, a int")
 
 
 @query()
+def diagonal_order(t):
+    """Rows and columns of the confusion matrix in the order that puts matches on the diagonal."""
+    rows, columns = trials.diagonal_order(_cells(t))
+    return t.spark.createDataFrame([("row", i, x) for i, x in enumerate(rows)] + [("col", i, x) for i, x in enumerate(columns)], "side string, pos int, name int")
+
+
+@query("SELECT source, doc_id, array_to_string(list_filter(['A', 'B', 'C'], lambda l: (l = 'A' AND list_contains({w}, 'the')) OR (l = 'B' AND list_contains({w}, 'de')) OR (l = 'C' AND list_contains({w}, 'und'))), ',') AS themes FROM documents")
 def stub_classify(t):
+    """The whole path of a batched model call, with a client that looks for words."""
     articles = t.documents.select("source", "doc_id", "text", X.n_tokens("text").alias("tok"))
-    return labelling.classify(articles, labelling.keyword_client({"the": "A", "de": "B", "und": "C"}), ["A", "B", "C"], group="source", key="doc_id", fixed=9012)
+    got = labelling.classify(articles, labelling.keyword_client({"the": "A", "de": "B", "und": "C"}), ["A", "B", "C"], group="source", key="doc_id", fixed=9012)
+    return got.select("source", "doc_id", F.array_join("themes", ",").alias("themes"))

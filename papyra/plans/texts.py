@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from papyra import store
 from papyra.functions import text as X
-from papyra.operators import batching, cost, topics
+from papyra.operators import batching, cost, ranking, topics, trials
 
 from .registry import query
 
 STOP, PHRASES = ["the", "and", "des", "les", "und", "los"], ["of the", "de la"]
 FIXED = 137 + 8775 + 100
-BY_LABEL = "SELECT CASE WHEN l_linenumber = 1 THEN -l_suppkey - 1 ELSE l_partkey END AS label, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_linenumber = 1 OR l_suppkey % 10 = 3 GROUP BY 1"
+BY_LABEL = "SELECT CASE WHEN l_linenumber = 1 THEN 's' || l_suppkey ELSE 'p' || l_partkey || '.' || l_suppkey END AS label, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1"
 NORM = (
     "list_filter(string_split_regex(regexp_replace(regexp_replace(replace(replace(lower(coalesce(text, '')), 'of the', ' '), 'de la', ' '), '[0-9][0-9.,]*', ' num ', 'g'), "
     "'[^a-zàâäçéèêëîïôöùûüÿñæœ]+', ' ', 'g'), ' '), lambda x: x <> '' AND length(x) >= 3 AND x NOT IN ('the','and','des','les','und','los','qu','jusqu','lorsqu','puisqu','quoiqu','aujourd','hui'))"
@@ -20,9 +21,10 @@ NORM = (
 
 
 def label_counts(t):
-    """Distinct articles per label: suppliers for main labels, parts (of a few suppliers) for side labels."""
-    label = F.when(F.col("l_linenumber") == 1, -F.col("l_suppkey") - 1).otherwise(F.col("l_partkey"))
-    return t.lineitem.where((F.col("l_linenumber") == 1) | (F.col("l_suppkey") % 10 == 3)).select("l_orderkey", label.alias("label")).distinct().groupBy("label").agg(F.count("*").alias("n"))
+    """Distinct articles per label: suppliers for main labels, parts of suppliers for side labels."""
+    name = lambda *c: F.concat(*(x if not isinstance(x, str) else F.col(x).cast("string") for x in c))
+    label = F.when(F.col("l_linenumber") == 1, name(F.lit("s"), "l_suppkey")).otherwise(name(F.lit("p"), "l_partkey", F.lit("."), "l_suppkey"))
+    return t.lineitem.select("l_orderkey", label.alias("label")).distinct().groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, len({w})::BIGINT AS n_words FROM documents WHERE len({w}) >= 10")
@@ -42,7 +44,7 @@ def excerpt(t):
 
 @query(f"SELECT doc_id, array_to_string({NORM}, ' ') AS tokens_joined FROM documents")
 def normalize_tokens(t):
-    return t.documents.select("doc_id", F.array_join(X.normalised("text", STOP, PHRASES, 3), " ").alias("tokens_joined"))
+    return t.texts("doc_id", "text").select("doc_id", F.array_join(X.normalised("text", STOP, PHRASES, 3), " ").alias("tokens_joined"))
 
 
 @query("""
@@ -100,7 +102,7 @@ def json_validate(t):
 
 @query(f"SELECT lang, count(*) FILTER (n = 0) AS n_empty, count(*) FILTER (n > 0 AND n < 20) AS n_short, count(*) FILTER (n >= 20) AS n_kept FROM (SELECT lang, len({NORM}) AS n FROM documents) GROUP BY 1")
 def corpus_filter_report(t):
-    n = t.documents.select("lang", F.size(X.normalised("text", STOP, PHRASES, 3)).alias("n"))
+    n = t.texts("lang", "text").select("lang", F.size(X.normalised("text", STOP, PHRASES, 3)).alias("n"))
     return n.groupBy("lang").agg(
         F.count_if(F.col("n") == 0).alias("n_empty"), F.count_if((F.col("n") > 0) & (F.col("n") < 20)).alias("n_short"), F.count_if(F.col("n") >= 20).alias("n_kept")
     )
@@ -112,10 +114,10 @@ v AS (SELECT w FROM e GROUP BY 1 HAVING count(*) >= 5)
 SELECT doc_id, count(*) AS n_before, count(v.w) AS n_after FROM e LEFT JOIN v USING (w) GROUP BY 1 HAVING count(v.w) >= 20""")
 def min_freq_vocab(t):
     """Token occurrences, not documents, decide; the length filter is applied again."""
-    docs = t.documents.select("doc_id", X.normalised("text", STOP, PHRASES, 3).alias("ws")).where(F.size("ws") >= 20)
-    words = docs.select("doc_id", F.explode("ws").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    vocab = words.groupBy("w").agg(F.sum("n").alias("f")).where("f >= 5").select("w", F.lit(True).alias("keep"))
-    both = words.join(vocab, "w", "left").groupBy("doc_id").agg(F.sum("n").alias("n_before"), F.sum(F.when(F.col("keep"), F.col("n")).otherwise(0)).alias("n_after"))
+    docs = t.texts("doc_id", "text").select("doc_id", X.normalised("text", STOP, PHRASES, 3).alias("words")).where(F.size("words") >= 20)
+    words = topics.counted(docs, "words", "doc_id")
+    vocab = words.groupBy("word").agg(F.sum("n").alias("f")).where("f >= 5").select("word", F.lit(True).alias("keep"))
+    both = words.join(vocab, "word", "left").groupBy("doc_id").agg(F.sum("n").alias("n_before"), F.sum(F.when(F.col("keep"), F.col("n")).otherwise(0)).alias("n_after"))
     return both.where("n_after >= 20")
 
 
@@ -136,7 +138,7 @@ def articles_per_page(t):
 WITH w AS (SELECT lang, source, unnest(string_split_regex(lower(coalesce(text, '')), '[ \\t\\r\\n]+')) AS w FROM documents)
 SELECT lang, source, count(DISTINCT w) AS "distinct", count(*) AS words, sum(length(w))::BIGINT AS chars FROM w WHERE w <> '' GROUP BY 1, 2""")
 def vocab_per_page(t):
-    words = t.documents.select("lang", "source", F.explode(X.words(F.lower("text"))).alias("w"))
+    words = t.texts("lang", "source", "text").select("lang", "source", F.explode(X.words(F.lower("text"))).alias("w"))
     per = words.groupBy("lang", "source", "w").agg(F.count("*").alias("n"))
     return per.groupBy("lang", "source").agg(F.count("*").alias("distinct"), F.sum("n").alias("words"), F.sum(F.col("n") * F.length("w")).alias("chars"))
 
@@ -148,7 +150,7 @@ SELECT concat(a, b, c) AS zone, count(*) AS n FROM f GROUP BY 1
 UNION ALL SELECT 'total0', sum(a)::BIGINT FROM f UNION ALL SELECT 'total1', sum(b)::BIGINT FROM f UNION ALL SELECT 'total2', sum(c)::BIGINT FROM f""")
 def venn3_vocab(t):
     """One pass: three flags per word, counted by combination; totals add up the zones."""
-    docs = t.documents.where(F.col("source").isin("src0", "src1", "src2"))
+    docs = t.texts("source", "text").where(F.col("source").isin("src0", "src1", "src2"))
     flag = lambda i: F.max((F.col("source") == f"src{i}").cast("int"))
     f = docs.select("source", F.explode(X.words("text")).alias("w")).groupBy("w").agg(flag(0).alias("a"), flag(1).alias("b"), flag(2).alias("c"))
     zones = f.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
@@ -164,7 +166,7 @@ SELECT source, count(*) AS n, round(avg(q), 6) AS mean, round(min(q), 6) AS min,
 def quality_by_source(t):
     """Known-word ratio against a lexicon, per text, then per source."""
     lex = t.benchmark.select(F.explode(X.words(F.lower("text"))).alias("w")).distinct().withColumn("known", F.lit(1))
-    words = t.documents.select("doc_id", "source", F.explode(X.words(F.lower("text"))).alias("w"))
+    words = t.texts("doc_id", "source", "text").select("doc_id", "source", F.explode(X.words(F.lower("text"))).alias("w"))
     q = words.join(lex, "w", "left").groupBy("doc_id", "source").agg(F.avg(F.coalesce("known", F.lit(0))).alias("q"))
     return q.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("q"), 6).alias("mean"), F.round(F.min("q"), 6).alias("min"), F.round(F.max("q"), 6).alias("max"))
 
@@ -174,10 +176,9 @@ def label_frequency(t):
     return label_counts(t)
 
 
-@query("SELECT l_partkey AS label FROM lineitem WHERE l_suppkey % 10 = 3 GROUP BY 1 HAVING count(DISTINCT l_orderkey) = 1")
+@query(f"SELECT label FROM ({BY_LABEL}) WHERE n = 1")
 def hapax_labels(t):
-    few = t.lineitem.where("l_suppkey % 10 = 3").select("l_orderkey", F.col("l_partkey").alias("label")).distinct()
-    return few.groupBy("label").count().where("count = 1").select("label")
+    return label_counts(t).where("n = 1").select("label")
 
 
 @query(f"SELECT CASE WHEN n >= 1 AND n < 2 THEN 'hapax' WHEN n >= 2 AND n < 10 THEN 'rare' WHEN n >= 10 AND n < 100 THEN 'medium' WHEN n >= 100 THEN 'frequent' ELSE 'hapax' END AS band, count(*) AS n_labels, sum(n)::BIGINT AS n_uses FROM ({BY_LABEL}) GROUP BY 1")
@@ -187,9 +188,15 @@ def frequency_bands(t):
 
 @query(f"SELECT row_number() OVER w AS rank, label, n, (sum(n) OVER w / sum(n) OVER ())::DOUBLE AS cum_share FROM ({BY_LABEL}) WINDOW w AS (ORDER BY n DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def rank_frequency(t):
-    w = Window.orderBy(F.desc("n"), "label")
-    n = label_counts(t)
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select(F.row_number().over(w).cast("long").alias("rank"), "label", "n", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("all")).alias("cum_share"))
+    at = ranking.cumulative(label_counts(t), [], [F.desc("n"), F.col("label")], "n")
+    return at.select("rank", "label", "n", (F.col("upto") / F.col("all")).alias("cum_share"))
+
+
+@query(f"SELECT min(rank) FILTER (n = 1) AS first_hapax, count(*) AS n_labels, (sum(n) FILTER (rank <= 20))::DOUBLE / sum(n) AS top20_share FROM (SELECT row_number() OVER (ORDER BY n DESC, label) AS rank, n FROM ({BY_LABEL}))")
+def rank_tail(t):
+    """Where the labels used once begin, and what the first twenty carry."""
+    at = rank_frequency(t)
+    return at.agg(F.min(F.when(F.col("n") == 1, F.col("rank"))).alias("first_hapax"), F.count("*").alias("n_labels"), (F.sum(F.when(F.col("rank") <= 20, F.col("n"))) / F.sum("n")).alias("top20_share"))
 
 
 @query("SELECT doc_id, len(list_filter(({w})[1:10], lambda x: length(x) <= 2)) >= 5 AS is_noise FROM documents")
@@ -201,8 +208,12 @@ _STATS = "SELECT '{0}' AS measure, min({0})::DOUBLE AS min, max({0})::DOUBLE AS
 
 
 def _stats(df, columns):
+    """Exact medians come from counts of the values, so no group is held in one state."""
     long = df.select(F.stack(F.lit(len(columns)), *(y for c in columns for y in (F.lit(c), F.col(c).cast("double")))).alias("measure", "v"))
-    return long.groupBy("measure").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 6).alias("mean"), F.median("v").alias("median"))
+    long = store.written(long.groupBy("measure", "v").agg(F.count("*").alias("n")), "values")
+    mean = F.round(F.sum(F.col("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), 6)
+    rest = long.groupBy("measure").agg(F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"))
+    return rest.join(ranking.weighted_quantiles(long, ["measure"], "v", "n").select("measure", "median"), "measure")
 
 
 @query("WITH x AS (SELECT len({w}) AS n_words, {tok} AS n_tokens, n_chars FROM documents) " + " UNION ALL ".join(_STATS.replace("{0}", c) for c in ("n_words", "n_tokens", "n_chars")))
@@ -220,20 +231,19 @@ def stats_two_level(t):
 SELECT o_orderpriority AS class, (list_sort(list(o_totalprice)))[count(*) // 2 + 1] AS median_hi,
   count(*) FILTER (o_totalprice < 0.5 * (SELECT max(o_totalprice) FROM orders)) / count(*)::DOUBLE AS low_share FROM orders GROUP BY 1""")
 def upper_median(t):
-    """By rank and count, so that no class is collected into one row."""
+    """By rank and count, so that no class is collected into one row or sorted by one task."""
     orders = t.orders.select(F.col("o_orderpriority").alias("class"), F.col("o_totalprice").alias("v"))
     top = orders.agg(F.max("v").alias("top"))
-    n = orders.groupBy("class", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("class")
-    ranked = n.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
-    hit = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("v")))
-    return ranked.crossJoin(F.broadcast(top)).groupBy("class").agg(hit.alias("median_hi"), (F.sum(F.when(F.col("v") < 0.5 * F.col("top"), F.col("n")).otherwise(0)) / F.sum("n")).alias("low_share"))
+    low = orders.crossJoin(F.broadcast(top)).groupBy("class").agg((F.count_if(F.col("v") < 0.5 * F.col("top")) / F.count("*")).alias("low_share"))
+    return ranking.quantiles(orders, ["class"], "v").select("class", F.col("upper").alias("median_hi")).join(low, "class")
 
 
 @query("SELECT event_type AS type, round(sum(value), 4) AS total, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events WHERE value <> 0 GROUP BY 1")
 def latency_stats(t):
     v = F.col("value")
-    return t.events.where("value <> 0").groupBy(F.col("event_type").alias("type")).agg(F.round(F.sum(v), 4).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"))
+    rows = t.events.where("value <> 0").select(F.col("event_type").alias("type"), "value")
+    rest = rows.groupBy("type").agg(F.round(F.sum(v), 4).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"))
+    return rest.join(ranking.quantiles(rows, ["type"], "value").select("type", F.round("median", 6).alias("median")), "type")
 
 
 _CACHE = "((1 - 0.554::DOUBLE) + 0.554::DOUBLE * 0.1::DOUBLE)"
@@ -273,34 +283,35 @@ def cost_by_model(t):
 
 
 _LOTS = f"""
-WITH RECURSIVE a AS (SELECT lang, doc_id, {{tok}} AS tok, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos FROM documents),
-f AS (SELECT lang, doc_id, tok, pos, 0::BIGINT AS lot, {FIXED} + tok + 15 AS used, 1 AS items FROM a WHERE pos = 1
+WITH RECURSIVE a AS (SELECT source, doc_id, {{tok}} AS tok, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents),
+f AS (SELECT source, doc_id, tok, pos, 0::BIGINT AS lot, {FIXED} + tok + 15 AS used, 1 AS items FROM a WHERE pos = 1
   UNION ALL
-  SELECT a.lang, a.doc_id, a.tok, a.pos, f.lot + (f.used + a.tok + 15 > 40000 OR f.items >= 25)::BIGINT,
+  SELECT a.source, a.doc_id, a.tok, a.pos, f.lot + (f.used + a.tok + 15 > 40000 OR f.items >= 25)::BIGINT,
     CASE WHEN f.used + a.tok + 15 > 40000 OR f.items >= 25 THEN {FIXED} ELSE f.used END + a.tok + 15,
     CASE WHEN f.used + a.tok + 15 > 40000 OR f.items >= 25 THEN 1 ELSE f.items + 1 END
-  FROM f JOIN a ON a.lang = f.lang AND a.pos = f.pos + 1)
+  FROM f JOIN a ON a.source = f.source AND a.pos = f.pos + 1)
 """
 
 
 def _lots(t):
-    return batching.with_lots(t.documents.select("lang", "doc_id", X.n_tokens("text").alias("tok")), "lang", "doc_id", "tok", FIXED)
+    return batching.with_lots(t.documents.select("source", "doc_id", X.n_tokens("text").alias("tok")), "source", "doc_id", "tok", FIXED)
 
 
-@query(_LOTS + "SELECT lang, doc_id, lot FROM f")
+@query(_LOTS + "SELECT source, doc_id, lot FROM f")
 def greedy_batches(t):
-    return _lots(t).select("lang", "doc_id", "lot")
+    return _lots(t).select("source", "doc_id", "lot")
 
 
-@query(_LOTS + f", g AS (SELECT lang, lot, count(*) AS n, sum(tok)::BIGINT AS tokens FROM f GROUP BY 1, 2) SELECT lang, lot, n, tokens, round(({FIXED} + tokens) / 1e6 * 0.5 + n * 31 / 1e6 * 1.5, 5) AS cost_nc, round(({FIXED} * {_CACHE} + tokens) / 1e6 * 0.5 + n * 31 / 1e6 * 1.5, 5) AS cost_c FROM g")
+@query(_LOTS + f", g AS (SELECT source, lot, count(*) AS n, sum(tok)::BIGINT AS tokens FROM f GROUP BY 1, 2) SELECT source, lot, n, tokens, round(({FIXED} + tokens) / 1e6 * 0.5 + n * 31 / 1e6 * 1.5, 5) AS cost_nc, round(({FIXED} * {_CACHE} + tokens) / 1e6 * 0.5 + n * 31 / 1e6 * 1.5, 5) AS cost_c FROM g")
 def cost_per_batch(t):
-    g = _lots(t).groupBy("lang", "lot").agg(F.count("*").alias("n"), F.sum("tok").alias("tokens"))
-    return g.select("lang", "lot", "n", "tokens", *(F.round((FIXED * s + F.col("tokens")) / 1e6 * 0.5 + F.col("n") * cost.TYPICAL_OUTPUT / 1e6 * 1.5, 5).alias(c) for c, s in (("cost_nc", 1.0), ("cost_c", cost.CACHED_SHARE))))
+    g = _lots(t).groupBy("source", "lot").agg(F.count("*").alias("n"), F.sum("tok").alias("tokens"))
+    return g.select("source", "lot", "n", "tokens", *(F.round((FIXED * s + F.col("tokens")) / 1e6 * 0.5 + F.col("n") * cost.TYPICAL_OUTPUT / 1e6 * 1.5, 5).alias(c) for c, s in (("cost_nc", 1.0), ("cost_c", cost.CACHED_SHARE))))
 
 
 @query("SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 25 AS chunk, doc_id FROM documents".join(["SELECT source, chunk, count(*) AS n FROM (", ") GROUP BY 1, 2"]))
 def fixed_chunks(t):
-    return t.documents.select("source", batching.chunk("source", "doc_id").alias("chunk")).groupBy("source", "chunk").agg(F.count("*").alias("n"))
+    """How many items each chunk of 25 has; which ones is a matter of their order alone."""
+    return batching.chunk_sizes(t.documents, "source")
 
 
 @query(f"SELECT lang, count(*) AS n, ceil(count(*) / least(25, greatest(1, floor((40000 - {FIXED}) / (avg({{tok}}) + 15)))))::BIGINT AS n_lots FROM documents GROUP BY 1")
@@ -329,11 +340,12 @@ tp AS (SELECT source AS topic, word, rank FROM (SELECT *, row_number() OVER (PAR
 
 
 def _words(t):
-    return t.documents.select("source", "doc_id", F.explode(X.words("text")).alias("word"))
+    """(source, doc_id, word, n): one pass over the texts, for all that a query asks of their words."""
+    return topics.counted(t.texts("source", "doc_id", "text").select("source", "doc_id", X.words("text").alias("words")), "words", "source", "doc_id")
 
 
-def _topics(t):
-    return topics.top_words(_words(t), "source").select(F.col("source").alias("topic"), "word", "rank")
+def _topics(t, words=None):
+    return topics.top_words(_words(t) if words is None else words, "source").select(F.col("source").alias("topic"), "word", "rank")
 
 
 @query(_TW + ", p AS (SELECT word, count(*) AS n FROM tp GROUP BY 1) SELECT count(*) / sum(n)::DOUBLE AS diversity, count(*) AS unique_words, sum(n)::BIGINT AS total, count(*) FILTER (n > 1) AS n_shared FROM p")
@@ -346,10 +358,37 @@ v AS (SELECT * FROM dw WHERE word IN (SELECT word FROM tp)),
 b AS (SELECT x.word AS w1, y.word AS w2, count(*) AS n12 FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.word < y.word GROUP BY 1, 2),
 q AS (SELECT x.topic, s1.n / n.n::DOUBLE AS p1, s2.n / n.n::DOUBLE AS p2, b.n12 / n.n::DOUBLE AS p12 FROM tp x JOIN tp y ON x.topic = y.topic AND x.word < y.word
   LEFT JOIN s s1 ON s1.word = x.word LEFT JOIN s s2 ON s2.word = y.word LEFT JOIN b ON w1 = x.word AND w2 = y.word, n)
-SELECT topic, round(avg(CASE WHEN p12 IS NULL THEN -1 WHEN p12 = 1 THEN 1 ELSE round_even(greatest(-1, least(1, ln((p12 + 1e-10) / (p1 * p2 + 1e-10)) / -ln(p12 + 1e-10))), 4) END), 6) AS npmi FROM q GROUP BY 1""")
+SELECT topic, round_even(avg(CASE WHEN coalesce(p12, 0) < 1e-10 OR coalesce(p1, 0) < 1e-10 OR coalesce(p2, 0) < 1e-10 THEN -1 WHEN p12 = 1 THEN 1 ELSE greatest(-1, least(1, ln(p12 / (p1 * p2)) / -ln(p12))) END), 4) AS npmi FROM q GROUP BY 1""")
 def topic_npmi(t):
-    corpus = t.documents.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(X.words("text"))).alias("word"))
-    return topics.npmi(_topics(t), corpus).select("topic", F.round("npmi", 6).alias("npmi"))
+    words = _words(t)
+    top = store.written(_topics(t, words), "top")
+    n = words.select("doc_id").distinct().count()
+    return topics.npmi(top, words.select(F.col("doc_id").alias("doc"), "word"), n)
+
+
+_RUN = """
+WITH w AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE 'y' END AS run, source, unnest({w}) AS word FROM documents), c AS (SELECT run, source, word, count(*) AS n FROM w GROUP BY 1, 2, 3),
+tp AS (SELECT run, source AS topic, word FROM (SELECT *, row_number() OVER (PARTITION BY run, source ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 10)
+"""
+
+
+@query(_RUN + """, s AS (SELECT run, topic, count(*) AS n FROM tp GROUP BY 1, 2), b AS (SELECT x.topic AS a, y.topic AS b, count(*) AS n FROM tp x JOIN tp y ON x.word = y.word AND x.run = 'x' AND y.run = 'y' GROUP BY 1, 2)
+SELECT b.a, b.b, b.n / (p.n + q.n - b.n)::DOUBLE AS jaccard FROM b JOIN s p ON p.run = 'x' AND p.topic = b.a JOIN s q ON q.run = 'y' AND q.topic = b.b""")
+def run_overlaps(t):
+    """The topics of two runs (here: two halves of the corpus) by the words that they share."""
+    return topics.overlaps(*_two_runs(t))
+
+
+def _two_runs(t):
+    words = _words(t)
+    half = lambda i: topics.top_words(words.where(F.col("doc_id") % 2 == i), "source").select(F.col("source").alias("topic"), "word")
+    return half(0), half(1)
+
+
+@query()
+def run_stability(t):
+    """Topics of two runs, matched one to one by falling overlap."""
+    return t.spark.createDataFrame(topics.stability(*_two_runs(t)), "a string, b string, jaccard double")
 
 
 @query(_TW + ", v AS (SELECT DISTINCT unnest({w}) AS word FROM benchmark) SELECT topic, count(*) FILTER (v.word IS NULL) AS oov, count(*) AS total FROM tp LEFT JOIN v USING (word) GROUP BY 1")
@@ -366,14 +405,19 @@ def ctfidf_top_words(t):
     return topics.ctfidf(_words(t), "source").select("source", F.col("rank").cast("long").alias("rank"), "word", F.round("score", 10).alias("score"))
 
 
-@query(_TW + "SELECT DISTINCT a.topic, b.word AS candidate FROM tp a JOIN tp b ON a.topic <> b.topic AND b.rank <= 5 WHERE NOT EXISTS (SELECT 1 FROM tp c WHERE c.topic = a.topic AND c.word = b.word)")
-def intrusion_candidates(t):
-    """Top-five words of other topics that a topic doesn't have among its own ten."""
-    top = _topics(t)
-    offered = top.where("rank <= 5").groupBy("word").agg(F.collect_set("topic").alias("from"))
-    asked = top.select("topic").distinct()
-    pairs = asked.join(F.broadcast(offered), F.size("from") > F.array_contains("from", F.col("topic")).cast("int"))
-    return pairs.select("topic", F.col("word")).join(top.select("topic", "word"), ["topic", "word"], "left_anti").select("topic", F.col("word").alias("candidate"))
+@query(_TW + """, o AS (SELECT DISTINCT word FROM tp WHERE rank <= 5), pl AS (SELECT word, row_number() OVER (ORDER BY md5('5|' || word), word) - 1 AS place, count(*) OVER () AS size FROM o),
+m AS (SELECT topic, count(*) AS mine FROM tp JOIN o USING (word) GROUP BY 1),
+st AS (SELECT topic, size, ('0x' || substr(md5('5|' || topic), 1, 15))::BIGINT % size AS start, unnest(range(0, least(mine, size - 1) + 1)) AS step FROM m, (SELECT max(size) AS size FROM pl)),
+ca AS (SELECT st.topic, step, pl.word FROM st JOIN pl ON pl.place = (start + step) % st.size WHERE NOT EXISTS (SELECT 1 FROM tp WHERE tp.topic = st.topic AND tp.word = pl.word)),
+intr AS (SELECT topic, arg_min(word, step) AS intruder FROM ca GROUP BY 1),
+kept AS (SELECT topic, word FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('5w|' || topic || '|' || word), word) AS r FROM tp WHERE topic IN (SELECT topic FROM intr)) WHERE r <= 5),
+a AS (SELECT * FROM kept UNION ALL SELECT * FROM intr),
+p AS (SELECT topic, word, row_number() OVER (PARTITION BY topic ORDER BY md5('5p|' || topic || '|' || word), word) AS p FROM a)
+SELECT p.topic, string_agg(word, ' ' ORDER BY p) AS words, intruder, (max(p) FILTER (word = intruder))::INT AS position FROM p JOIN intr USING (topic) GROUP BY p.topic, intruder""")
+def intrusion_items(t):
+    """Five words of each topic by lot, and one of another topic's first five."""
+    items = trials.intrusion(store.written(_topics(t), "top"), "5")
+    return items.select("topic", F.array_join("words", " ").alias("words"), "intruder", "position")
 
 
 @query("SELECT doc_id, round(least(1, 512 / {tok}::DOUBLE), 9) AS share, nullif(regexp_extract('X000' || regexp_extract(source, '([0-9]+)', 1), 'X0*([0-9]+)', 1), '')::INT AS page_no FROM documents")
