@@ -45,11 +45,33 @@ def test_articles(spark):
     assert markup.articles_per_page(toc, "issue").first().n_articles == 3
 
 
-def test_alto_rewrite():
-    out = markup.alto_rewrite(ALTO.format(ns=' xmlns="http://www.loc.gov/standards/alto/ns-v3#"'), {"B1": "un deux\n\ntrois", "B2": " "})
-    by = {b["block_id"]: b for b in markup.alto_blocks(out)}
-    assert by["B1"]["lines"] == "un deux\ntrois" and by["B2"]["lines"] == "TITRE"
-    assert 'HPOS="55" VPOS="20" WIDTH="45" HEIGHT="20" CONTENT="deux"' in out
+def test_alto_rewrite(spark):
+    for ns in ("", ' xmlns="http://www.loc.gov/standards/alto/ns-v3#"'):
+        page = files(spark, [("i", "p", ALTO.format(ns=ns)), ("i", "q", ALTO.format(ns=ns))])
+        texts = spark.createDataFrame([("p", "B1", "un deux\n\ntrois & <quatre>"), ("p", "B2", " ")], "page string, block_id string, text string")
+        out = markup.rewritten(page, texts, ["page"])
+        by = {(b.page, b.block_id): b for b in markup.blocks(out, ["page"]).collect()}
+        assert by["p", "B1"].lines == "un deux\ntrois & <quatre>" and by["p", "B2"].lines == "TITRE" and by["p", "B2"].is_title
+        assert by["q", "B1"].text == "Le gouvernement tombe"
+        assert 'HPOS="55" VPOS="20" WIDTH="45" HEIGHT="20" CONTENT="deux"' in out.where("page = 'p'").first().content
+
+
+def test_prefixed_names_and_page_texts(spark):
+    xml = ALTO.format(ns="").replace("<alto>", '<a:alto xmlns:a="u">').replace("</alto>", "</a:alto>").replace("<TextBlock", "<a:TextBlock").replace("</TextBlock", "</a:TextBlock")
+    got = markup.page_texts(files(spark, [("i", "p", xml), ("i", "q", "<alto/>"), ("j", "p", None)]), "issue", "page").collect()
+    assert [(r.issue, r.pages) for r in got] == [("i", {"p": "Le gouver-\nnement tombe"})]
+
+
+def test_scanned_toc(spark):
+    broken = '<div ID="A1" X="" TYPE="ARTICLE" LABEL="Un"><area BEGIN="B1"/><area BEGIN="B2"><div ID="A2" X="" TYPE="ARTICLE" LABEL="Deux"><area BEGIN="B2"/>'
+    got = markup.scanned_toc(files(spark, [("i", "t", broken)]), ["issue"])
+    assert {(r.block_id, r.article_id, r.title) for r in got.collect()} == {("B1", "A1", "Un"), ("B2", "A2", "Deux")}
+    geometry = markup.blocks(files(spark, [("i", "p", ALTO.format(ns=""))]), ["issue", "page"])
+    themes = spark.createDataFrame([("i", "A1", "sport")], "issue string, article_id string, category string")
+    assert {(r.block_id, r.article_id, r.category) for r in markup.placed(geometry, got, themes).collect()} == {("B1", "A1", "sport"), ("B2", "A2", None)}
+    weights = spark.createDataFrame([("i", "p", "B1", [0.3, 0.7]), ("i", "p", "B2", [0.1, 0.9]), ("i", "p", "B9", [0.8, 0.2])], "issue string, page string, block_id string, dist array<double>")
+    cover = markup.topic_cover(weights, got, 0).collect()
+    assert {(r.article_id, r.n, r.n_blocks, r.n_strong) for r in cover} == {("A1", 1, 3, 2), (None, 1, 3, 2)}
 
 
 def test_years(spark):
