@@ -55,6 +55,13 @@ def normalised(text: str | Column, stop: list[str] = (), phrases: list[str] = ()
     return F.coalesce(F.filter(F.split(c, " "), lambda w: (w != "") & (F.length(w) >= min_len) & ~w.isin(drop)), F.array().cast("array<string>"))
 
 
+def class_words(text: str | Column, stop: list[str] = ()) -> Column:
+    """Lower-case words of three letters or more, for the words of a class; stop words go."""
+    c = F.lower(F.col(text) if isinstance(text, str) else text)
+    found = F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}_])\p{L}{3,}(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.coalesce(F.filter(found, lambda w: ~w.isin(list(stop))) if stop else found, F.array().cast("array<string>"))
+
+
 def truncated(text: str | Column, budget: int) -> Column:
     """Words kept so that the token estimate fits: cut to 80 % of the words until it does; 0 is no limit."""
     w = words(text)

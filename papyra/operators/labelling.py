@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import batching
+from papyra import store
+from papyra.functions import text as X
+
+from . import batching, requests
 
 Client = Callable[[list[tuple], list[str]], dict]
 MAX_THEMES = 5
@@ -96,25 +99,52 @@ def classify(articles: DataFrame, client: Client, labels: list[str], group: str,
     return lots.mapInPandas(run, f"{group} {kind[group]}, {key} {kind[key]}, themes array<string>, error string")
 
 
-def cascade(articles: DataFrame, first: Client, second: Client, branches: dict[str, list[str]], group: str, key: str, text: str = "text", tokens: str = "tok", fixed: int = 0) -> DataFrame:
-    """Two stages: a branch for each article, then a leaf of that branch; a branch without leaves is final.
+def cascade(articles: DataFrame, first: Client, second: Client, branches: dict[str, list[str]], group: str, key: str, text: str = "text", tokens: str = "tok", fixed: int = 0, lead_in: int = 0, batched: bool = True) -> DataFrame:
+    """(key, branch, themes), in two stages: a branch for each article, then a leaf of that branch; a branch without leaves is final.
 
-    Between the stages articles are dealt by branch, largest calls packed across groups.
+    With ``lead_in`` the first stage reads that many tokens of a text only. Between the
+    stages articles are dealt by branch, whatever group they come from, so the second
+    stage's lots are packed across groups; branches with most articles come first.
     """
-    one = classify(articles, first, list(branches), group, key, text, tokens, fixed).select(key, F.get("themes", F.lit(0)).alias("branch"))
-    routed = articles.join(one, key)
+    began = articles.withColumn(text, requests.led_in(text, lead_in)).withColumn(tokens, X.n_tokens(text)) if lead_in else articles
+    one = classify(began, first, list(branches), group, key, text, tokens, fixed, batched).select(key, F.get("themes", F.lit(0)).alias("branch"))
+    routed = store.written(articles.join(one, key), "routed")
     final = [b for b, leaves in branches.items() if not leaves]
     out = routed.where(F.col("branch").isNull() | F.col("branch").isin(final)).select(key, "branch", F.when(F.col("branch").isNotNull(), F.array("branch")).otherwise(F.array().cast("array<string>")).alias("themes"))
-    for branch, leaves in branches.items():
-        if leaves:
-            part = classify(routed.where(F.col("branch") == branch), second, leaves, "branch", key, text, tokens, fixed)
-            out = out.union(part.select(key, F.lit(branch).alias("branch"), "themes"))
+    for branch in largest_first(routed, branches):
+        part = classify(routed.where(F.col("branch") == branch), second, branches[branch], "branch", key, text, tokens, fixed, batched)
+        out = out.union(part.select(key, F.lit(branch).alias("branch"), "themes"))
     return out
 
 
+def largest_first(routed: DataFrame, branches: dict[str, list[str]]) -> list[str]:
+    """Branches with leaves that have articles, by falling number of these."""
+    n = {r.branch: r["count"] for r in routed.groupBy("branch").count().collect()}
+    return sorted((b for b, leaves in branches.items() if leaves and n.get(b)), key=lambda b: (-n[b], b))
+
+
+def in_order(results: DataFrame, articles: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """Results in the order of the articles, whatever order they came in."""
+    return results.join(articles.select(key, pos), key).orderBy(pos).drop(pos)
+
+
 def label_codes(themes: DataFrame, names: DataFrame, label: str = "label", aliases: dict[str, str] | None = None) -> DataFrame:
     """Labels answered as text to codes; one label may have several codes, unknown ones are kept as null."""
     c = F.col(label)
     for a, b in (aliases or {}).items():
         c = F.when(F.col(label) == a, b).otherwise(c)
-    return themes.withColumn("_l", c).join(F.broadcast(names.select(F.col("label").alias("_l"), "code")), "_l", "left").drop("_l")
+    return themes.withColumn("_l", c).join(names.select(F.col("label").alias("_l"), "code"), "_l", "left").drop("_l")
+
+
+def with_fallback(strict: Client, free: Client) -> Client:
+    """A local model: answers bound to the schema, and where the service refuses that (400), free ones, which ``valid`` sifts."""
+
+    def call(items, labels):
+        try:
+            return strict(items, labels)
+        except Refused as e:
+            if e.status != 400:
+                raise
+            return free(items, labels)
+
+    return call

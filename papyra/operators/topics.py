@@ -82,6 +82,12 @@ def ctfidf(words: DataFrame, group: str, k: int = TOP) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(group, "rank", "word", "score")
 
 
+def common(words: DataFrame, min_df: int, doc: str = "doc_id") -> DataFrame:
+    """Counted words that stand in ``min_df`` documents or more."""
+    df = words.groupBy("word").agg(F.countDistinct(doc).alias("_df")).where(F.col("_df") >= min_df).select("word")
+    return words.join(df, "word", "left_semi")
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, jaccard) of the topics (topic, word) of two runs that share a word; they meet by word."""
     size = lambda t, n: t.groupBy(F.col("topic").alias(n)).agg(F.countDistinct("word").alias(f"n_{n}"))

@@ -113,5 +113,3 @@ def test_cascade(spark):
     assert got == {0: ["P"], 1: ["Q"], 2: ["Y"], 3: []}
 
 
-def test_greedy_match():
-    assert trials.greedy_match([(0, 0, 5), (0, 1, 9), (1, 1, 8), (1, 0, 1)]) == [(0, 1, 9), (1, 0, 1)]

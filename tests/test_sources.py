@@ -1,10 +1,14 @@
 """Markup and table readers on toy files."""
 
+import io
 import json
+import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from papyra.sources import markup, sinks, tables
+from papyra.operators import topics
+from papyra.sources import markup, runs, sinks, tables
 from papyra.streaming import windows
 
 ALTO = """<alto{ns}><Tags><StructureTag ID="T1" LABEL="Title"/></Tags><Layout><Page WIDTH="100" HEIGHT="200">
@@ -116,3 +120,109 @@ def test_stream_equals_batch(spark):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch = e.groupBy(F.window("ts", "5 days"), "event_type").count().select(F.col("window.start").cast("timestamp_ntz"), "event_type", "count")
     assert stream == {tuple(r) for r in batch.collect()}
+
+
+def test_csv_tables(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('﻿item,extra,reponse,secondes\nA001,x,o,1.5\nA002,y,"n, ""?""",later\n', encoding="utf-8")
+    got = tables.csv_table(spark, str(tmp_path / "r.csv"), "responses")
+    assert [tuple(r) for r in got.orderBy("item").collect()] == [("A001", "o", 1.5, None), ("A002", 'n, "?"', None, None)]
+    sinks.csv(got, str(tmp_path / "out"), ["reponse", "item"])
+    back = tables.csv_table(spark, str(tmp_path / "out"), schema="item string, reponse string")
+    assert sorted(tuple(r) for r in back.collect()) == [("A001", "o"), ("A002", 'n, "?"')]
+
+
+def test_runs(spark, tmp_path):
+    def put(run, name, value):
+        (tmp_path / run).mkdir(exist_ok=True)
+        (tmp_path / run / name).write_text(json.dumps(value))
+
+    put("b", "meta.json", {"source": "s", "k": 5, "n_docs": 50, "graine": 2, "freq_min": 5})
+    put("b", "topics.json", [{"topic_id": 0, "top_words": "a b c d e mot", "size": 3}, {"topic_id": 1, "top_words": "mot", "size": 30}])
+    put("b", "metrics.json", {"npmi": {"npmi_mean": 0.11115}, "diversity": {"diversity": 0.8, "tokens_distincts": 9}, "entropy": {"entropy_normalized": 0.5}})
+    put("b", "metrics_brut.json", {"npmi": {"npmi_mean": 0.2}})
+    put("a", "meta.json", {"source": "s", "k": 5, "n_docs": 90, "granularite": "article"})
+    put("a", "metrics.json", {"npmi": {"npmi_mean": 0.3}})
+    put("a", "metrics_ref.json", {"npmi": {"npmi_mean": 0.4}})
+    put("c", "topics.json", [])
+    put("d", "meta.json", {"source": "s", "n_docs": 1})
+    got = {r.run: r for r in runs.recap(spark, str(tmp_path), 50).collect()}
+    assert {k: r.pos for k, r in got.items()} == {"a": 1, "b": 2}
+    b = got["b"]
+    assert (b.noise_topics, b.noise_docs, b.ratio, b.npmi, b.vocabulary, b.granularite, b.longueur_min) == (1, 3, 10.0, 0.2, 9, "bloc", 2)
+    assert got["a"].npmi == 0.4 and got["a"].ratio is None
+    assert runs.pick(spark, str(tmp_path)) == "d" and runs.pick(spark, str(tmp_path), last=False, without="^a") == "b"
+    assert topics.non_empty(runs.topics(spark, str(tmp_path))).count() == 2
+
+
+def test_assignments_of_any_shape(spark):
+    texts = ['[{"span_id": "a", "topic": 3}, {"doc_id": "b", "topic_id": 4}]', '{"c": 5, "d": {"topic": 6, "weight": 0.5}}']
+    got = tables.read_assignments(spark.createDataFrame([(t,) for t in texts], "content string"))
+    assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 4), ("c", 5), ("d", 6)}
+    rows = spark.createDataFrame([("x", 1)], "id string, topic int")
+    assert tuple(tables.assignments(rows).first()) == ("x", 1)
+
+
+def test_manifests_issues_and_folders(spark, tmp_path):
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], "doc_id string, pos int")
+    other = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, pos int")
+    assert tables.matching_manifest(ids, other) and not tables.matching_manifest(ids, other, order="pos")
+    assert not tables.matching_manifest(ids, ids.union(ids))
+    assert [r.fascicule for r in tables.issues(spark.createDataFrame([("2_reocr",), ("1",), ("2",)], "fascicule string"), first=2).collect()] == ["1", "2"]
+    (tmp_path / "one").mkdir()
+    paths = {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")}
+    assert set(tables.present(spark, paths, ["one"])) == {"one"}
+    with pytest.raises(FileNotFoundError):
+        tables.present(spark, paths)
+
+
+def test_spreadsheet(spark):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="U"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>date</t></si><si><r><t>18</t></r><r><t>98</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row><c r="A2" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    assert tables.sheet(buf.getvalue(), "U") == [["date", None, "7"], ["1898"]]
+    a, b = (spark.createDataFrame(x, "k string, y int") for x in ([("p", 1), ("q", 2), ("r", None)], [("p", 1), ("q", 3), ("r", None), ("s", 1)]))
+    assert tuple(tables.agreement(a, b, "k", "y").first()) == (3, 2)
+
+
+def test_sinks_of_runs_and_kits(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a")], "topic_id int, w string")
+    sinks.run_tables(str(tmp_path / "runs"), "r1", topics=df)
+    sinks.run_tables(str(tmp_path / "runs"), "r2", topics=df)
+    sinks.run_tables(str(tmp_path / "runs"), "r1", topics=df)
+    assert spark.read.parquet(str(tmp_path / "runs/topics")).count() == 2
+    items = spark.createDataFrame([("A002", "deux", ["x"]), ("A001", "un", ["p", "q"])], "item string, text string, candidates array<string>")
+    back = tables.kit_items(spark.createDataFrame([(sinks.kit(items, "Kit"),)], "content string")).collect()
+    assert [(r.item, r.candidates) for r in back] == [("A001", ["p", "q"]), ("A002", ["x"])]
+    assert sinks.two_columns([("a", 5), ("b", 3), ("c", 3)]) == (["a"], ["b", "c"])
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(3), "T", most=2)
+    with pytest.raises(ValueError):
+        tables.word_list(spark.createDataFrame([("a",), ("b",)], "value string"), most=1)
+
+
+def test_checkpointed_work_goes_on(spark, tmp_path):
+    items = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    path = str(tmp_path / "done")
+    seen = []
+
+    def work(df):
+        seen.append(df.count())
+        return df.select("id", F.when(F.col("id") == 7, F.lit("timeout")).alias("error"))
+
+    assert sinks.checkpointed(items, path, "id", work, rows=5) == 4 and sum(seen) == 20
+    assert sinks.checkpointed(items, path, "id", work, rows=5) == 1 and seen[-1] == 1
+    latest = windows.latest(spark.read.parquet(path), "id", "error")
+    assert latest.count() == 20
+
+
+def test_resume_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "id long").write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    spark.createDataFrame([(1, None)], "id long, error string").write.parquet(out)
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    done = lambda df: df.select("id", F.lit(None).cast("string").alias("error"))
+    q = windows.resume_into(stream, "id", lambda: spark.read.parquet(out), lambda df: df.write.mode("append").parquet(out), done, str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
