@@ -50,9 +50,9 @@ def uniform(key: str, seed: str = SEED) -> Column:
 
 
 def packed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(row, doc_id, source, text): ``row`` holds all columns of ``docs``."""
+    """(row, doc_id, source, _size, _tie): ``row`` holds all columns of ``docs``; the text is counted and hashed before it travels."""
     own = F.struct(*docs.columns).alias("row")
-    return docs.select(own, F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    return docs.select(own, F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("_size"), F.xxhash64(text).alias("_tie"))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", weight: str = "_weight") -> DataFrame:

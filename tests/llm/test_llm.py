@@ -118,7 +118,7 @@ def test_mix_properties(hostile, empty, spark):
     again = mixing.mix(hostile.repartition(5), ["doc_id"], bin_rows=1).collect()
     assert sorted((r.doc_id or 0, r.size, r.taken) for r in got) == sorted((r.doc_id or 0, r.size, r.taken) for r in again)
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 9 + 1).cast("int"))).alias("text"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 5 > 0, "b").otherwise("c").alias("source"), F.lit(0).cast("long").alias("n_chars"))
-    mixed = mixing.mix(mixing.packed(many), ["row"], bin_rows=64)
+    mixed = mixing.mix(mixing.packed(many), ["row"], size="_size", tie="_tie", bin_rows=64)
     want = mixed.agg(F.sum("taken")).first()[0]
     assert mixing.materialise(mixed).agg(F.sum(mixing.n_words("text"))).first()[0] == want
 

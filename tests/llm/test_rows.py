@@ -42,7 +42,7 @@ def test_a_mix_of_rows_with_clashing_names(spark, tmp_path):
     names = "doc_id long, text string, source string, n_chars long, size string, _weight int, epochs int, row int, head string, _row int"
     df = spark.createDataFrame([(i, "a b c d", "xy"[i % 2], 7, "s", 1, 2, 3, "h", 4) for i in range(30)], names)
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
-    out = mixing.materialise(mixing.mix(mixing.quality_weights(mixing.packed(df), labels), ["row"], weight="_weight"))
+    out = mixing.materialise(mixing.mix(mixing.quality_weights(mixing.packed(df), labels), ["row"], weight="_weight", size="_size", tie="_tie"))
     out.write.parquet(str(tmp_path / "m"))
     assert out.columns == df.columns and {r.size for r in out.collect()} == {"s"}
     assert out.agg(F.sum(mixing.n_words("text"))).first()[0] == 120
