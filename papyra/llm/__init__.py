@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data.
 
-Self-contained: nothing else in the library imports this subpackage, and it
-imports nothing from the rest.
+Nothing else in the library imports this subpackage; of the rest it imports
+written tables (papyra.store) only.
 """
