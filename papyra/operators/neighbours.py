@@ -1,45 +1,106 @@
-"""Exact k nearest neighbours by cosine, in blocks."""
+"""Exact neighbours by cosine or distance, in blocks: no vector is shuffled or copied.
+
+Rows are met where they are read by chunks of queries that are broadcast one at a
+time, each of a bounded number of bytes. All pairs are compared, which is quadratic by
+nature; what leaves a task is k rows a query, or the pairs within the radius.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from papyra import store
+
+#: Bytes of query vectors in one broadcast, and rows of a block.
+CHUNK_BYTES, BLOCK = 16 << 20, 4096
+
+
+def rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) with double components, written once."""
+    return store.written(vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks if len(c)]
+    n = sum(len(c) for c in chunks)
+    return np.concatenate(flat).reshape(n, -1) if flat else np.zeros((0, 0))
+
+
+def chunks(data: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of all rows in chunks that a hash of the id decides."""
+    n, most = data.agg(F.count("*"), F.max(F.size("v"))).first()
+    parts = max(1, -(-n * 8 * (most or 1) // CHUNK_BYTES))
+    for c in range(parts):
+        some = data.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == c).orderBy("id").toArrow()
+        yield some["id"].to_numpy(), matrix(some["v"])
+
+
+def against_all(data: DataFrame, look: Callable, schema: str) -> DataFrame:
+    """``look(ids, x, query ids, q)`` of every block of rows and every chunk of queries, as one written table."""
+    out = None
+    for qids, q in chunks(data):
+        shared = data.sparkSession.sparkContext.broadcast((qids, q))
+
+        def run(batches, shared=shared):
+            yield from look(batches, *shared.value)
+
+        found = store.written(data.mapInArrow(run, schema), "met")
+        shared.unpersist()
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, similarity) of every row's k nearest others; ties to smaller ids.
 
-    Rows are cut into blocks; each pair of blocks is one bounded matrix product,
-    of which k rows per query leave. Vectors must be unit length or are made so.
+    Vectors are made unit length; similarities are told apart to twelve digits.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    at = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    left = rows.withColumn("a", at).withColumn("b", F.explode(every))
-    right = rows.select(F.col("id").alias("id"), F.col("v").alias("v")).withColumn("b", at).withColumn("a", F.explode(every))
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        x = np.array(t["v"].to_pylist(), np.float64)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "similarity": []}
-        if q.num_rows and c.num_rows:
-            s, ids = matrix(q) @ matrix(c).T, c["id"].to_numpy()
-            s = np.round(s, 12)
-            for i, own in enumerate(q["id"].to_pylist()):
-                best = np.lexsort((ids, -s[i]))[: k + 1]
-                best = best[ids[best] != own][:k]
-                out["query_id"] += [own] * len(best)
-                out["vec_id"] += ids[best].tolist()
-                out["similarity"] += s[i][best].tolist()
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())]))
-
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "query_id long, vec_id long, similarity double")
+
+    def look(batches, qids, q):
+        q = _unit(q)
+        best, ids = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                own = part.column("id").to_numpy()
+                s = np.round(q @ _unit(matrix(part.column("v"))).T, 12)
+                s[qids[:, None] == own[None, :]] = -np.inf
+                s, names = np.concatenate([best, s], 1), np.concatenate([ids, np.broadcast_to(own, s.shape)], 1)
+                if s.shape[1] > k:
+                    # everything that ties with the k-th stays until it is sorted
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                    order = np.lexsort((names, -np.where(s >= least[:, None], s, -np.inf)), axis=1)[:, :k]
+                    s, names = np.take_along_axis(s, order, 1), np.take_along_axis(names, order, 1)
+                best, ids = s, names
+        some = best > -np.inf
+        yield pa.record_batch({"query_id": np.repeat(qids, some.sum(1)), "vec_id": ids[some], "similarity": best[some]})
+
+    met = against_all(rows(vectors, key, vector), look, "query_id long, vec_id long, similarity double")
     line = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "vec_id"))), 1, k)
-    return met.groupBy("query_id").agg(line.alias("n")).select("query_id", F.posexplode("n")).select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", (-F.col("col.d")).alias("similarity"))
+    top = met.groupBy("query_id").agg(line.alias("n")).select("query_id", F.posexplode("n"))
+    return top.select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", (-F.col("col.d")).alias("similarity"))
+
+
+def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(x, y, d) of every pair of rows, both ways, whose distance is ``radius`` or less."""
+
+    def look(batches, qids, q):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                own, p = part.column("id").to_numpy(), matrix(part.column("v"))
+                d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0))
+                i, j = np.nonzero((d <= radius) & (own[:, None] != qids[None, :]))
+                yield pa.record_batch({"x": own[i], "y": qids[j], "d": d[i, j]})
+
+    return against_all(rows(vectors, key, vector), look, "x long, y long, d double")
