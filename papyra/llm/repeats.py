@@ -311,6 +311,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     anchors = survey.where("size(h) > 0").join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "th", F.explode(F.arrays_zip("h", "g", "pos")).alias("a")).select("a.h", "a.g", "doc_id", "th", "a.pos")
     # counted with map-side sums, then met in joins that can be split: a common anchor is no single task
     seen = anchors.groupBy("h", "g").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h", "g", "x")
+    seen = store.written(seen, "seen")  # a table of its own, so that the join with it can be split
     recurring = store.written(anchors.join(seen, ["h", "g"]), "recurring")
     asked = recurring.where("doc_id = x").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h", "g")).alias("asked"))
     words = rows.join(asked, ["doc_id", "th"]).mapInArrow(_phrases(phrase), "h long, g long, words binary")
@@ -324,7 +325,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     sent = told.select("bucket", no.alias("doc_id"), no.alias("th"), F.lit(0).alias("kind"), F.col("words").alias("data"))
     found = dealt.union(marks).union(sent).repartition(texts, "bucket").sortWithinPartitions(*line)
     found = store.written(found.mapInArrow(_candidates(window, phrase), "h long, g long, bucket long, lo long, hi long"), "windows")
-    for done in (recurring, phrases, survey):
+    for done in (seen, recurring, phrases, survey):
         store.drop(spark, done)
     n = store.partitions(spark, found.count(), TASK_ROWS)
     owners = found.repartition(n, "h").sortWithinPartitions("h", "g", "lo").mapInArrow(_owners, "bucket long, h long, g long, owner long")
