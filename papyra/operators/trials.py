@@ -96,7 +96,7 @@ def nmi(table: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
     plogp = lambda c: -F.sum(F.col(c) / F.col("t") * F.ln(F.col(c) / F.col("t")))
     h = lambda df, c, name: df.crossJoin(F.broadcast(total)).agg(plogp(c).alias(name))
     term = F.col(n) / F.col("t") * F.ln(F.col(n) * F.col("t").cast("double") / (F.col("x") * F.col("y")))
-    mi = table.join(F.broadcast(left), a).join(F.broadcast(right), b).crossJoin(F.broadcast(total)).agg(F.sum(term).alias("mi"), F.max("t").alias("n"))
+    mi = table.join(left, a).join(right, b).crossJoin(F.broadcast(total)).agg(F.sum(term).alias("mi"), F.max("t").alias("n"))
     out = mi.crossJoin(F.broadcast(h(left, "x", "h_a"))).crossJoin(F.broadcast(h(right, "y", "h_b")))
     r = lambda c: F.round(c, 9)
     return out.select("n", r("h_a").alias("h_a"), r("h_b").alias("h_b"), r("mi").alias("mi"), r(2 * F.col("mi") / (F.col("h_a") + F.col("h_b"))).alias("nmi"))

@@ -54,7 +54,7 @@ def sets(t):
 
 
 def supplier_roots(t):
-    nation = F.broadcast(t.nation.select("n_nationkey", F.col("n_regionkey").alias("root")))
+    nation = t.nation.select("n_nationkey", F.col("n_regionkey").alias("root"))
     return t.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "root")
 
 
@@ -62,7 +62,7 @@ def compared(t):
     """Orders with their customer's root (one label) and their suppliers' roots (several)."""
     lines = t.lineitem.join(supplier_roots(t), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("o"))
     lines = lines.agg(F.sort_array(F.collect_set("root")).alias("roots"), F.min_by("root", F.struct("l_linenumber", "l_suppkey")).alias("first"))
-    nation = F.broadcast(t.nation.select("n_nationkey", F.col("n_regionkey").alias("enc")))
+    nation = t.nation.select("n_nationkey", F.col("n_regionkey").alias("enc"))
     who = t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "enc")
     orders = t.orders.join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("o"), "enc", F.col("o_totalprice").alias("score"))
     return orders.join(lines, "o").withColumn("k", F.size("roots").cast("long"))
@@ -120,14 +120,14 @@ def cascade_extrapolation(t):
 @query("SELECT n_regionkey AS root, count(DISTINCT o_custkey) AS used, count(DISTINCT c_custkey) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def taxonomy_coverage(t):
     used = t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("used", F.lit(1))
-    who = t.customer.join(used, "c_custkey", "left").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    who = t.customer.join(used, "c_custkey", "left").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return who.groupBy(F.col("n_regionkey").alias("root")).agg(F.count("used").alias("used"), F.count("*").alias("total"))
 
 
 @query("SELECT n_regionkey AS root, count(DISTINCT o_custkey) AS n_labels FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def labels_absorbed(t):
     used = t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return used.join(t.customer, "c_custkey").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("root")).agg(F.count("*").alias("n_labels"))
+    return used.join(t.customer, "c_custkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("root")).agg(F.count("*").alias("n_labels"))
 
 
 @query("WITH z AS (SELECT 1), l AS (SELECT l_orderkey AS o, (l_linenumber, l_suppkey) AS pos, n_regionkey AS root FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), f AS (SELECT o, arg_min(root, pos) AS first FROM l GROUP BY 1) SELECT root, (SELECT count(*) FROM f WHERE first = root) AS n_first, count(DISTINCT o) AS n_any FROM l GROUP BY 1")

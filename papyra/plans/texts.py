@@ -78,7 +78,7 @@ def label_disambiguation(t):
     """A label shows its parent only where another concept has the same one."""
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("code")
     own = t.region.select(key("r", "r_regionkey"), F.col("r_name").alias("label"), F.lit("").alias("context"))
-    nations = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(key("n", "n_nationkey"), F.col("n_name"), F.col("r_name"))
+    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(key("n", "n_nationkey"), F.col("n_name"), F.col("r_name"))
     every = own.union(nations).union(t.part.select(key("p", "p_partkey"), "p_name", "p_brand"))
     twice = every.groupBy("label").agg((F.count("*") > 1).alias("twice"))
     shown = F.when(F.col("twice") & (F.col("context") != ""), F.concat(F.lit(" ("), "context", F.lit(")"))).otherwise("")

@@ -89,6 +89,7 @@ def test_json_tables(spark, tmp_path):
     assert [(r.fascicule, r.article_id) for r in got] == [("12", "a")] and tables.attributions(spark, str(tmp_path / "*.json"), True).count() == 2
     (tmp_path / "c.skos").write_text(json.dumps({"conceptSet": [{"uri": "u1", "qcode": "m:1", "prefLabel": {"fr": "x"}}, {"uri": "u2", "qcode": "m:2", "prefLabel": {}, "retired": "2020"}], "hasTopConcept": ["u1"]}))
     assert [(r.qcode, r.is_top) for r in tables.concepts(spark, str(tmp_path / "c.skos")).collect()] == [("m:1", True)]
+    assert {(r.qcode, r.is_top, r.retired) for r in tables.concepts(spark, str(tmp_path / "c.skos"), keep_retired=True).collect()} == {("m:1", True, None), ("m:2", False, "2020")}
     text = spark.createDataFrame([(json.dumps({"i|a": {"codes": ["1"]}, "i|b": {"erreur": "x"}}),)], "content string")
     assert [tuple(r) for r in tables.regimes(text).collect()] == [("i", "a", ["1"])]
 
