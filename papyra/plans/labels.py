@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import measures as M
 from papyra.functions import text as X
-from papyra.operators import batching, taxonomy, trials
+from papyra.operators import batching, requests, taxonomy, trials
 
 from .registry import query
 
@@ -81,6 +81,13 @@ def taxonomy_leaves(t):
     return one(2).union(one(3))
 
 
+@query(BASE + "SELECT path[1] AS l1, count(*) AS n, min(code) AS first FROM p WHERE depth = 3 OR (depth < 3 AND code NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL)) GROUP BY 1")
+def label_families(t):
+    """The candidate labels of each first-level family."""
+    f = taxonomy.families(taxonomy.leaves(edges(t), 3))
+    return f.select("l1", F.size("codes").cast("long").alias("n"), F.get("codes", F.lit(0)).alias("first"))
+
+
 @query(EDGES.replace("{more}", "UNION ALL SELECT * FROM (VALUES ('x1', 'gone'), ('y1', 'y2'), ('y2', 'y1')) v") + "SELECT e.code, p.path[1] AS root FROM e LEFT JOIN p USING (code)")
 def taxonomy_rollup(t):
     return taxonomy.rollup(edges(t, more=True))
@@ -323,6 +330,19 @@ def valid_codes(t):
     return per.select(F.col("l_orderkey").alias("order"), F.array_join(F.slice(F.transform("c", lambda x: x["l_suppkey"].cast("string")), 1, 5), ",").alias("codes"))
 
 
+@query("""
+WITH x AS (SELECT l_orderkey AS o, list(DISTINCT s_nationkey) AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+y AS (SELECT CASE WHEN len(k) > 5 THEN 'number of themes' WHEN list_max(k) >= 20 THEN 'unknown theme' ELSE 'none' END AS problem, least(5, len(list_filter(k, lambda n: n < 20))) AS kept FROM x)
+SELECT problem, count(*) AS n, sum(kept)::BIGINT AS kept FROM y GROUP BY 1""")
+def strict_answers(t):
+    """Raw replies (here: each order's nations as JSON) against a strict schema, and what of them is usable."""
+    known = t.supplier.select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("code"))
+    themes = t.lineitem.join(known, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.collect_set("code").alias("themes"))
+    got = requests.answers(themes.select(F.to_json(F.struct("themes")).alias("reply")), "reply", [f"n{i}" for i in range(20)])
+    kept = F.sum(F.coalesce(F.size(F.get("entries", F.lit(0))["themes"]), F.lit(0)))
+    return got.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"), kept.alias("kept"))
+
+
 @query("SELECT d.doc_id, CASE WHEN regexp_matches(d.title, '^[A-Z]+\\.[0-9]+$') THEN '' ELSE d.title END || coalesce(quality::VARCHAR, '(unavailable)') AS shown FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'DIV.' || doc_id ELSE source END AS title FROM documents) d LEFT JOIN labels USING (doc_id)")
 def left_placeholder(t):
     title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("DIV."), "doc_id")).otherwise(F.col("source"))

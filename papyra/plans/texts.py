@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra import store
 from papyra.functions import text as X
-from papyra.operators import batching, cost, ranking, topics, trials
+from papyra.operators import batching, corpus, cost, ranking, topics, trials
 
 from .registry import query
 
@@ -121,6 +121,23 @@ def min_freq_vocab(t):
     return both.where("n_after >= 20")
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {NORM} AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS w FROM d WHERE len(ws) >= 20),
+v AS (SELECT w FROM e GROUP BY 1 HAVING count(*) >= 5), k AS (SELECT doc_id, count(*) AS n FROM e WHERE w IN (SELECT w FROM v) GROUP BY 1 HAVING count(*) >= 20)
+SELECT (SELECT count(*) FROM d WHERE len(ws) = 0) AS n_empty, (SELECT count(*) FROM d WHERE len(ws) BETWEEN 1 AND 19) AS n_short, (SELECT count(*) FROM k) AS n_kept,
+  (SELECT count(*) FROM d WHERE len(ws) >= 20) - (SELECT count(*) FROM k) AS n_rare, (SELECT count(DISTINCT w) FROM e WHERE doc_id IN (SELECT doc_id FROM k) AND w IN (SELECT w FROM v)) AS vocabulary""")
+def corpus_report(t):
+    """A corpus by its setting, and what its filters took."""
+    setting = corpus.Setting("article", tuple(STOP), tuple(PHRASES), min_len=3, min_freq=5)
+    return corpus.build(t.texts("doc_id", "text"), setting)[1]
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '\\p{L}{3,}') AND x NOT IN ('the', 'and', 'des', 'les', 'und', 'los')))::BIGINT AS n FROM documents")
+def class_words(t):
+    """Words that count for the words of a class."""
+    return t.documents.select("doc_id", F.size(X.class_words("text", STOP)).cast("long").alias("n"))
+
+
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (text <> '') AS text, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles FROM conversations GROUP BY 1 HAVING trim(coalesce(string_agg(text, ''), '')) <> ''")
 def article_assembly(t):
     """Blocks joined in their order by a blank line; blank articles go."""
