@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from llm_brute import brute_jaccard
 
 from papyra.llm import shingles, simhash
@@ -21,8 +22,11 @@ def test_sf(spark):
     assert kept(df) == sorted(set(want.values()))
 
 
-def test_crowds(spark):
+@pytest.mark.parametrize("most", [shingles.COMPONENT, 1, 700])
+def test_crowds(spark, monkeypatch, most):
     """Edited copies of a few texts, chained and spread, with a common passage; more sharers than are compared pairwise."""
+    monkeypatch.setattr(shingles, "COMPONENT", most)
+    monkeypatch.setattr(shingles, "PIVOTS", 2 if most == 1 else 8)
     rng = np.random.default_rng(3)
     base = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in (40, 60, 61, 90)]
     line = [f"line{i}" for i in range(12)]
