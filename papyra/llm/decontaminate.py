@@ -114,10 +114,10 @@ class Index:
         self.key, self.item, self.impact = key, item, impact
         self.ptr = np.searchsorted(term, np.arange(len(terms) + 1))
         self.most = np.maximum.reduceat(impact, self.ptr[:-1]) if len(terms) else impact
-        self.blocks = n // BLOCK_ITEMS + 1
-        bkey = term * self.blocks + item // BLOCK_ITEMS
+        bkey = term * (n // BLOCK_ITEMS + 1) + item // BLOCK_ITEMS
         first = np.flatnonzero(np.r_[True, bkey[1:] != bkey[:-1]]) if len(bkey) else np.zeros(0, np.int64)
-        self.bkey, self.bmost = bkey[first], np.maximum.reduceat(impact, first) if len(first) else impact
+        # of each posting the largest impact of its term in its block
+        self.bmost = np.repeat(np.maximum.reduceat(impact, first), np.diff(np.append(first, len(bkey)))) if len(first) else impact
         # the most frequent terms open no passage as long as no item gets near the threshold by them alone
         self.opens, sums = np.ones(len(terms), bool), np.zeros(n)
         for x in np.lexsort((np.arange(len(terms)), -np.diff(self.ptr))):
@@ -135,48 +135,50 @@ class Index:
 
     def wand(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, score) of all items at the threshold, for queries x terms (-1: no term), all walked at once."""
+        small = np.int16 if self.n < 1 << 14 else np.int64  # short keys sort by radix
         real = terms >= 0
         t = np.maximum(terms, 0)
         most = np.where(real, self.most[t], 0.0)
         at, doc = self._seek(t.ravel(), np.zeros(t.size, np.int64))
-        at, doc = at.reshape(t.shape), np.where(real, doc.reshape(t.shape), self.n)
+        at, doc = at.reshape(t.shape), np.where(real, doc.reshape(t.shape), self.n).astype(small)
         who = np.arange(len(t))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def move(behind):
+            """Cursors before a query's place go there."""
+            r, c = np.nonzero(doc < behind[:, None])
+            if len(r):
+                at[r, c], doc[r, c] = self._seek(t[r, c], behind[r])
+
         while len(who):
             order = np.argsort(doc, axis=1, kind="stable")
-            sorted_doc = np.take_along_axis(doc, order, 1)
-            bound = np.cumsum(np.take_along_axis(most, order, 1), axis=1)
-            lift = (bound >= THRESHOLD - SLACK) & (sorted_doc < self.n)
-            place = lift.argmax(1)
-            go = lift[np.arange(len(who)), place]
+            line = np.arange(len(who))
+            bound = np.cumsum(most[line[:, None], order], axis=1)
+            place = (bound < THRESHOLD - SLACK).sum(1)
+            go = place < t.shape[1]
+            pivot = doc[line, order[line, np.minimum(place, t.shape[1] - 1)]].astype(np.int64)
+            go &= pivot < self.n
             if not go.all():
-                who, t, real, most, at, doc, sorted_doc, place = (x[go] for x in (who, t, real, most, at, doc, sorted_doc, place))
+                who, t, most, at, doc, pivot = (x[go] for x in (who, t, most, at, doc, pivot))
                 if not len(who):
                     break
-            line = np.arange(len(who))
-            pivot = sorted_doc[line, place]
-            # block maxima of all terms whose cursor is at the pivot or before it
+            # nothing before the pivot can reach the threshold, so all cursors go to its block
+            start = pivot - pivot % BLOCK_ITEMS
+            move(start)
+            end = start + BLOCK_ITEMS
+            here = np.where(doc < end[:, None], self.bmost[np.minimum(at, len(self.bmost) - 1)], 0.0)
             near = doc <= pivot[:, None]
-            r, c = np.nonzero(near)
-            block = pivot // BLOCK_ITEMS
-            b = np.searchsorted(self.bkey, t[r, c] * self.blocks + block[r])
-            hit = (b < len(self.bkey)) & (self.bkey[np.minimum(b, len(self.bkey) - 1)] == t[r, c] * self.blocks + block[r])
-            upper = np.bincount(r[hit], weights=self.bmost[b[hit]], minlength=len(who))
-            scored = upper >= THRESHOLD - SLACK
-            # behind the block, or up to the next term's cursor, if the block can't reach the threshold
-            further = np.where(near, self.n, doc).min(1)
-            target = np.where(scored, pivot, np.maximum(np.minimum((block + 1) * BLOCK_ITEMS, further), pivot + 1))
-            move = doc < target[:, None]
-            r, c = np.nonzero(move)
-            at[r, c], doc[r, c] = self._seek(t[r, c], target[r])
+            scored = (here * near).sum(1) >= THRESHOLD - SLACK
+            # behind the block if all its maxima can't reach the threshold, or on to the next term's cursor if those up to the pivot can't
+            further = np.minimum(end, np.where(near, self.n, doc).min(1))
+            move(np.where(scored, pivot, np.where(here.sum(1) >= THRESHOLD - SLACK, np.maximum(further, pivot + 1), end)))
             full = np.flatnonzero(scored)
-            on = doc[full] == pivot[full, None]
-            r, c = np.nonzero(on)
-            score = np.bincount(r, weights=self.impact[at[full][r, c]], minlength=len(full))
-            ok = score >= THRESHOLD
-            out.append((who[full[ok]], pivot[full[ok]], score[ok]))
-            r = full[r]
-            at[r, c], doc[r, c] = self._seek(t[r, c], pivot[r] + 1)
+            if len(full):
+                r, c = np.nonzero(doc[full] == pivot[full, None])
+                score = np.bincount(r, weights=self.impact[at[full][r, c]], minlength=len(full))
+                ok = score >= THRESHOLD
+                out.append((who[full[ok]], pivot[full[ok]], score[ok]))
+                move(np.where(scored, pivot + 1, 0))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def matches(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, float, float]]:
