@@ -113,3 +113,11 @@ def test_cascade(spark):
     assert got == {0: ["P"], 1: ["Q"], 2: ["Y"], 3: []}
 
 
+
+
+def test_identifiers_and_periods(spark):
+    assert one(spark, X.ark_of("t"), t="see https://x.org/ark:/12148/bpt6k4109000.item") == "ark:/12148/bpt6k4109000"
+    assert one(spark, X.ark_of("t"), t="none") is None
+    assert one(spark, X.image_url("https://x.org/iiif/", F.col("a"), F.col("p")), a="ark:/1/b", p=3) == "https://x.org/iiif/ark:/1/b/f3/full/full/0/native.jpg"
+    assert one(spark, X.period(F.col("y")), y=1898) == "1880-1899" and one(spark, X.period(F.col("y")), y=1900) == "1900-1919"
+    assert one(spark, X.page_number("n"), n="X0012.xml") == 12
