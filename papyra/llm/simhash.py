@@ -221,14 +221,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return every.join(of, "fp", "left").select("doc_id", name, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _sketches(size: int, last: np.ndarray, weight: np.ndarray):
+def _sketches(size: int, last: np.ndarray, weight: np.ndarray, value: np.ndarray):
     """Fingerprint and shingle sketch of each text, in one pass."""
 
     def run(batches):
         for batch in batches:
             for part, buf, offs in tx.blocks(batch, "text"):
                 fp = prints(buf, offs, size).view(np.int64)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "th": part.column("th"), "fp": fp, **shingles.sketch(buf, offs, last, weight)})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "th": part.column("th"), "fp": fp, **shingles.sketch(buf, offs, last, weight, value)})
 
     return run
 
