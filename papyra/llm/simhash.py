@@ -226,7 +226,7 @@ def _sketches(size: int, last: np.ndarray, weight: np.ndarray, value: np.ndarray
 
     def run(batches):
         for batch in batches:
-            for part, buf, offs in tx.blocks(batch, "text"):
+            for part, buf, offs in tx.blocks(batch, "text", shingles.BLOCK):
                 fp = prints(buf, offs, size).view(np.int64)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "th": part.column("th"), "fp": fp, **shingles.sketch(buf, offs, last, weight, value)})
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from papyra.store import CLEANUP, drop, drop_written, partitions, shared_dir, written
+from papyra.store import CLEANUP, drop, drop_written, partitions, shared_dir, small_batches, written
 
-__all__ = ["CLEANUP", "drop", "drop_written", "free", "partitions", "shared_dir", "written"]
+__all__ = ["CLEANUP", "drop", "drop_written", "free", "partitions", "shared_dir", "small_batches", "written"]
 
 
 def free(columns: Sequence[str], taken: Sequence[str]) -> list[str]:

@@ -31,7 +31,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base**i mod 2**64 for i < n."""
     if base not in _powers or len(_powers[base]) < n:
-        size = max(n, 2 * BLOCK)
+        size = 1 << max(16, (n - 1).bit_length())
         out, have, step = np.empty(size, np.uint64), 1, base
         out[0] = 1
         while have < size:
