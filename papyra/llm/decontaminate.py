@@ -127,11 +127,15 @@ class Index:
             sums[item[p]] += impact[p]
             self.opens[x] = False
 
-    def _seek(self, term: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each term the first posting at or behind an item: its place, and its item (n: none)."""
-        at = np.searchsorted(self.key, term * max(self.n, 1) + np.minimum(item, self.n))
-        there = at < self.ptr[term + 1]
-        return at, np.where(there, self.item[np.minimum(at, len(self.item) - 1)], self.n)
+    def _seek(self, term: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term, whose cursor stands on posting ``at``, the first posting at or behind a larger item than that: its place, and its item (n: none)."""
+        at, stop = at + 1, self.ptr[term + 1]
+        doc = np.where(at < stop, self.item[np.minimum(at, len(self.item) - 1)], self.n)
+        far = np.flatnonzero(doc < item)  # not the next one
+        if len(far):
+            at[far] = np.searchsorted(self.key, term[far] * max(self.n, 1) + item[far])
+            doc[far] = np.where(at[far] < stop[far], self.item[np.minimum(at[far], len(self.item) - 1)], self.n)
+        return at, doc
 
     def wand(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, score) of all items at the threshold, for queries x terms (-1: no term), all walked at once."""
@@ -139,16 +143,16 @@ class Index:
         real = terms >= 0
         t = np.maximum(terms, 0)
         most = np.where(real, self.most[t], 0.0)
-        at, doc = self._seek(t.ravel(), np.zeros(t.size, np.int64))
-        at, doc = at.reshape(t.shape), np.where(real, doc.reshape(t.shape), self.n).astype(small)
+        at = self.ptr[t]
+        doc = np.where(real, self.item[at], self.n).astype(small)
         who = np.arange(len(t))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
 
         def move(behind):
-            """Cursors before a query's place go there."""
-            r, c = np.nonzero(doc < behind[:, None])
-            if len(r):
-                at[r, c], doc[r, c] = self._seek(t[r, c], behind[r])
+            """Cursors before a query's place, n at most, go there."""
+            i = np.flatnonzero(doc < behind.astype(small)[:, None])
+            if len(i):
+                at.reshape(-1)[i], doc.reshape(-1)[i] = self._seek(t.reshape(-1)[i], at.reshape(-1)[i], behind[i // t.shape[1]])
 
         while len(who):
             order = np.argsort(doc, axis=1, kind="stable")
@@ -165,7 +169,7 @@ class Index:
             # nothing before the pivot can reach the threshold, so all cursors go to its block
             start = pivot - pivot % BLOCK_ITEMS
             move(start)
-            end = start + BLOCK_ITEMS
+            end = np.minimum(start + BLOCK_ITEMS, self.n)
             here = np.where(doc < end[:, None], self.bmost[np.minimum(at, len(self.bmost) - 1)], 0.0)
             near = doc <= pivot[:, None]
             scored = (here * near).sum(1) >= THRESHOLD - SLACK
@@ -201,7 +205,8 @@ class Index:
             i = np.minimum(np.searchsorted(opened, chunk - shift), len(opened) - 1)
             ok = known & (opened[i] == chunk - shift)
             pairs.append(i[ok] * np.int64(len(self.ptr)) + t[ok])
-        pairs = np.unique(np.concatenate(pairs))
+        pairs = np.sort(np.concatenate(pairs))  # np.unique would hash them first
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         passage, term = pairs // len(self.ptr), pairs % len(self.ptr)
         # a passage whose terms' largest impacts don't add up to the threshold has no pivot
         able = np.bincount(passage, weights=self.most[term], minlength=len(opened)) >= THRESHOLD - SLACK
