@@ -1,8 +1,10 @@
-"""Exact neighbours by cosine or distance, in blocks: no vector is shuffled or copied.
+"""Exact neighbours by cosine or distance, in tiles: rows are dealt out once, then no vector is shuffled.
 
-Rows are met where they are read by chunks of queries that are broadcast one at a
-time, each of a bounded number of bytes. All pairs are compared, which is quadratic by
-nature; what leaves a task is k rows a query, or the pairs within the radius.
+Rows are met where they are read by chunks of all rows that are broadcast one at a
+time, each of a bounded number of bytes. A row carries what it has found from chunk to
+chunk, so a task holds one chunk, one batch and one tile of pairs, whatever the number of
+rows. All pairs are compared, in single precision first, which is quadratic by nature;
+pairs that single precision can't decide are computed again in double precision.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from pyspark.sql import functions as F
 
 from papyra import store
 
-#: Bytes of query vectors in one broadcast, and rows of a block.
-CHUNK_BYTES, BLOCK = 16 << 20, 4096
+#: Bytes of vectors in one broadcast; rows and pairs of a tile; pairs computed again at once; rows of a task.
+CHUNK_BYTES, BLOCK, TILE, AGAIN, PER_TASK = 16 << 20, 512, 1 << 20, 1 << 15, 1 << 16
 
 
 def rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) with double components, written once."""
-    return store.written(vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors")
+    """(id, v) with double components, written once and dealt evenly: a task's work is its rows times all rows."""
+    spark = vectors.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // PER_TASK))
+    return store.written(vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).repartition(parts), "vectors")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -32,6 +36,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(flat).reshape(n, -1) if flat else np.zeros((0, 0))
 
 
+def lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+
+
 def chunks(data: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors of all rows in chunks that a hash of the id decides."""
     n, most = data.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -41,57 +49,119 @@ def chunks(data: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield some["id"].to_numpy(), matrix(some["v"])
 
 
-def against_all(data: DataFrame, look: Callable, schema: str) -> DataFrame:
-    """``look(ids, x, query ids, q)`` of every block of rows and every chunk of queries, as one written table."""
-    out = None
-    for qids, q in chunks(data):
-        shared = data.sparkSession.sparkContext.broadcast((qids, q))
+def meet(begun: DataFrame, data: DataFrame, look: Callable, schema: str) -> Iterator[DataFrame]:
+    """``look(batches, ids, q)`` of ``begun`` and the first chunk of ``data``, as a written table; then of that table and the next chunk."""
+    for ids, q in chunks(data):
+        shared = data.sparkSession.sparkContext.broadcast((ids, q))
 
         def run(batches, shared=shared):
             yield from look(batches, *shared.value)
 
-        found = store.written(data.mapInArrow(run, schema), "met")
+        done, begun = begun, store.written(begun.mapInArrow(run, schema), "met")
         shared.unpersist()
-        out = found if out is None else out.union(found)
-    return out
+        yield begun
+        if "met" in done.columns:
+            store.drop(data.sparkSession, done)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _slack(dims: int) -> float:
+    """More than the error of a product of two vectors in single precision, for unit lengths."""
+    return (dims + 8) * 2.4e-7
+
+
+def _products(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """p[i] * q[j], summed in one order, so that equal vectors give equal products."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), AGAIN):
+        some = slice(at, at + AGAIN)
+        out[some] = np.einsum("ij,ij->i", p[i[some]], q[j[some]])
+    return out
+
+
+def nearest(own: np.ndarray, p: np.ndarray, ids: np.ndarray, q: np.ndarray, best: np.ndarray, names: np.ndarray, single: np.ndarray) -> None:
+    """Better entries of ``q`` than those of ``best`` and ``names`` replace them, for all rows of ``p``; vectors of unit length.
+
+    ``single`` is ``q`` in single precision. Similarities are told apart to twelve digits, ties to smaller ids.
+    """
+    k, slack = best.shape[1], _slack(p.shape[1])
+    for top in range(0, len(p), BLOCK):
+        block = slice(top, top + BLOCK)
+        x, me, b, n = p[block], own[block], best[block], names[block]
+        x32, wide = x.astype(np.float32), max(k, TILE // len(x))
+        for at in range(0, len(q), wide):
+            s = x32 @ single[at : at + wide].T
+            least = b[:, -1]
+            if s.shape[1] > k and np.isneginf(least).any():
+                # nothing below the k-th of this tile comes among the best
+                s[me[:, None] == ids[None, at : at + wide]] = -np.inf
+                least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].astype(float) - slack)
+            i, j = np.nonzero(s >= (least - slack)[:, None].astype(np.float32))
+            j += at
+            other = me[i] != ids[j]
+            i, j = i[other], j[other]
+            found = np.round(_products(x, q, i, j), 12)
+            some = (found > b[i, -1]) | ((found == b[i, -1]) & (ids[j] < n[i, -1]))
+            if not some.any():
+                continue
+            i, found, got = i[some], found[some], ids[j[some]]
+            at_row, line = np.unique(i, return_inverse=True)
+            r = np.concatenate([np.repeat(np.arange(len(at_row)), k), line])
+            all_s, all_n = np.concatenate([b[at_row].ravel(), found]), np.concatenate([n[at_row].ravel(), got])
+            order = np.lexsort((all_n, -all_s, r))
+            start = np.searchsorted(r[order], np.arange(len(at_row)))
+            keep = order[start[:, None] + np.arange(k)]
+            b[at_row], n[at_row] = all_s[keep], all_n[keep]
+
+
+def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, similarity) of every row's k nearest others; ties to smaller ids.
 
     Vectors are made unit length; similarities are told apart to twelve digits.
     """
 
-    def look(batches, qids, q):
+    def look(batches, ids, q):
         q = _unit(q)
-        best, ids = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        single = q.astype(np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                own = part.column("id").to_numpy()
-                s = np.round(q @ _unit(matrix(part.column("v"))).T, 12)
-                s[qids[:, None] == own[None, :]] = -np.inf
-                s, names = np.concatenate([best, s], 1), np.concatenate([ids, np.broadcast_to(own, s.shape)], 1)
-                if s.shape[1] > k:
-                    # everything that ties with the k-th stays until it is sorted
-                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                    order = np.lexsort((names, -np.where(s >= least[:, None], s, -np.inf)), axis=1)[:, :k]
-                    s, names = np.take_along_axis(s, order, 1), np.take_along_axis(names, order, 1)
-                best, ids = s, names
-        some = best > -np.inf
-        yield pa.record_batch({"query_id": np.repeat(qids, some.sum(1)), "vec_id": ids[some], "similarity": best[some]})
-
-    met = against_all(rows(vectors, key, vector), look, "query_id long, vec_id long, similarity double")
-    line = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "vec_id"))), 1, k)
-    top = met.groupBy("query_id").agg(line.alias("n")).select("query_id", F.posexplode("n"))
+            own = batch.column("id").to_numpy()
+            if not len(own):
+                continue
+            if "met" in batch.schema.names:
+                best, names = matrix(batch.column("s")).copy(), matrix(batch.column("met")).copy()
+            else:
+                best, names = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64)
+            nearest(own, _unit(matrix(batch.column("v"))), ids, q, best, names, single)
+            yield pa.record_batch({"id": batch.column("id"), "v": batch.column("v"), "met": lists(names), "s": lists(best)})
+
+    data = rows(vectors, key, vector)
+    for met in meet(data, data, look, "id long, v array<double>, met array<long>, s array<double>"):
+        pass
+    each = met.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip((F.transform("s", lambda x: -x)).alias("d"), F.col("met").alias("vec_id"))).alias("n")).where("n.d < double('infinity')")
+    line = F.slice(F.sort_array(F.collect_list("n")), 1, k)
+    top = each.groupBy("query_id").agg(line.alias("n")).select("query_id", F.posexplode("n"))
     return top.select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", (-F.col("col.d")).alias("similarity"))
 
 
-def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def against_all(data: DataFrame, look: Callable, schema: str) -> DataFrame:
+    """``look(ids, x, query ids, q)`` of every block of rows and every chunk of queries, as one written table."""
+    out = None
+    for qids, q in chunks(data):
+        shared = data.sparkSession.sparkContext.broadcast((qids, q))
+
+        def run(batches, shared=shared):
+            yield from look(batches, *shared.value)
+
+        found = store.written(data.mapInArrow(run, schema), "met")
+        shared.unpersist()
+        out = found if out is None else out.union(found)
+    return out
+
+
+def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """(x, y, d) of every pair of rows, both ways, whose distance is ``radius`` or less."""
 
     def look(batches, qids, q):
