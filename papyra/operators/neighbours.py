@@ -146,31 +146,106 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
     return top.select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", (-F.col("col.d")).alias("similarity"))
 
 
-def against_all(data: DataFrame, look: Callable, schema: str) -> DataFrame:
-    """``look(ids, x, query ids, q)`` of every block of rows and every chunk of queries, as one written table."""
+def near(p: np.ndarray, q: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs whose distance is ``radius`` or less, tile by tile."""
+    if not len(p) or not len(q) or radius < 0:
+        return
+    pp, qq, q32 = (p * p).sum(1), (q * q).sum(1), q.astype(np.float32)
+    # 2 p q >= pp + qq - radius^2, in halves that lie on either side
+    right = ((qq - radius * radius) / 2).astype(np.float32)
+    far = max(abs(float(radius)), 1.0) ** 2
+    long = float(np.sqrt(qq.max()))
+    for top in range(0, len(p), BLOCK):
+        x, half = p[top : top + BLOCK], pp[top : top + BLOCK] / 2
+        x32, wide = x.astype(np.float32), TILE // len(x)
+        slack = np.float32(_slack(p.shape[1]) * (far + (float(np.sqrt(2 * half.max())) + long) ** 2))
+        for at in range(0, len(q), wide):
+            s = x32 @ q32[at : at + wide].T
+            s -= right[at : at + wide]
+            s -= half.astype(np.float32)[:, None]
+            # what single precision can't hold is neither below nor above
+            i, j = np.nonzero(~(s < -slack))
+            unsure = np.flatnonzero(~(s[i, j] > slack))
+            keep = np.ones(len(i), bool)
+            keep[unsure] = distances(x, q[at : at + wide], i[unsure], j[unsure]) <= radius
+            yield i[keep] + top, j[keep] + at
+
+
+def distances(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    squares = (p * p).sum(1)[i] + (q * q).sum(1)[j] - 2 * _products(p, q, i, j)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def crowded(data: DataFrame, radius: float, few: int) -> DataFrame:
+    """``data`` (id, v) with n, the number of others within ``radius``; where n is ``few`` or less, met and d name them (0 and infinity fill up)."""
+    width = max(few, 1)
+
+    def look(batches, ids, q):
+        for batch in batches:
+            own, p = batch.column("id").to_numpy(), matrix(batch.column("v"))
+            if not len(own):
+                continue
+            if "met" in batch.schema.names:
+                n, met, d = batch.column("n").to_numpy().copy(), matrix(batch.column("met")).copy(), matrix(batch.column("d")).copy()
+            else:
+                n, met, d = np.zeros(len(own), np.int64), np.zeros((len(own), width), np.int64), np.full((len(own), width), np.inf)
+            for i, j in near(p, q, radius):
+                other = own[i] != ids[j]
+                i, j = i[other], j[other]
+                place = n[i] + np.arange(len(i)) - np.searchsorted(i, i)  # nonzero gives rows in order
+                n += np.bincount(i, minlength=len(n))
+                some = place < width
+                i, j, place = i[some], j[some], place[some]
+                met[i, place], d[i, place] = ids[j], distances(p, q, i, j)
+            yield pa.record_batch({"id": batch.column("id"), "v": batch.column("v"), "n": n, "met": lists(met), "d": lists(d)})
+
+    for met in meet(data, data, look, "id long, v array<double>, n long, met array<long>, d array<double>"):
+        pass
+    return met
+
+
+def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union of the groups of a and b, which ``parent`` names by their least members."""
+    a, b = parent[a], parent[b]
+    while True:
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        a, b = parent[a], parent[b]
+
+
+def links(data: DataFrame, radius: float) -> DataFrame:
+    """(a, b): links within ``radius`` that join the same rows of ``data`` (id, v) as all such links do.
+
+    A task gives a link a row and chunk at most, and one for each of the chunk's rows.
+    """
+
+    def look(batches, ids, q):
+        parent = np.arange(len(ids))
+        for batch in batches:
+            own, p = batch.column("id").to_numpy(), matrix(batch.column("v"))
+            first = np.full(len(own), -1)
+            for i, j in near(p, q, radius):
+                new = first[i] < 0
+                first[i[new]] = j[new]  # any of a row's will do, all are joined to it
+                joined(parent, first[i], j)
+            some = first >= 0
+            yield pa.record_batch({"a": own[some], "b": ids[first[some]]})
+        at = np.flatnonzero(parent != np.arange(len(ids)))
+        yield pa.record_batch({"a": ids[at], "b": ids[parent[at]]})
+
     out = None
-    for qids, q in chunks(data):
-        shared = data.sparkSession.sparkContext.broadcast((qids, q))
+    for ids, q in chunks(data):
+        shared = data.sparkSession.sparkContext.broadcast((ids, q))
 
         def run(batches, shared=shared):
             yield from look(batches, *shared.value)
 
-        found = store.written(data.mapInArrow(run, schema), "met")
+        found = store.written(data.mapInArrow(run, "a long, b long").where("a <> b"), "links")
         shared.unpersist()
         out = found if out is None else out.union(found)
     return out
-
-
-def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """(x, y, d) of every pair of rows, both ways, whose distance is ``radius`` or less."""
-
-    def look(batches, qids, q):
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                own, p = part.column("id").to_numpy(), matrix(part.column("v"))
-                d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0))
-                i, j = np.nonzero((d <= radius) & (own[:, None] != qids[None, :]))
-                yield pa.record_batch({"x": own[i], "y": qids[j], "d": d[i, j]})
-
-    return against_all(rows(vectors, key, vector), look, "x long, y long, d double")

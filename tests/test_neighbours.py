@@ -1,10 +1,10 @@
-"""Neighbours against brute force, and the memory of their tiles."""
+"""Neighbours and density groups against brute force, and the memory of their tiles."""
 
 import tracemalloc
 
 import numpy as np
 
-from papyra.operators import neighbours
+from papyra.operators import learning, neighbours
 
 
 def peak(run) -> float:
@@ -60,3 +60,46 @@ def test_memory_of_nearest_is_bounded_for_a_whole_chunk(spark):
     assert mb < 80 and (best > 0).all()
     s = np.round(p[:50] @ q.T, 12)
     assert (np.sort(-s, axis=1)[:, :k] == -best[:50]).mean() > 0.999
+
+
+def brute_density(x, ids, radius, least):
+    d = np.sqrt(np.maximum(((x[:, None, :].astype(float) - x[None].astype(float)) ** 2).sum(2), 0))
+    close = (d <= radius) & ~np.eye(len(x), dtype=bool)
+    core = close.sum(1) >= least
+    name = {a: ids[a] for a in range(len(x)) if core[a]}
+    changed = True
+    while changed:
+        changed = False
+        for a in name:
+            m = min([name[a]] + [name[b] for b in np.flatnonzero(close[a]) if core[b]])
+            changed, name[a] = changed or m != name[a], m
+    out = {}
+    for a, i in enumerate(ids):
+        at = [(d[a, b], ids[b], name[b]) for b in np.flatnonzero(close[a]) if core[b]]
+        out[i] = name[a] if core[a] else min(at)[2] if at else -1
+    return out
+
+
+def test_density_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 2000)
+    x = vectors(250, 2)
+    ids = [500 - 2 * i for i in range(250)]
+    for radius, least in ((0.15, 3), (0.3, 6), (0.05, 1), (9.0, 4), (-1.0, 1)):
+        got = {r.vec_id: r.cluster for r in learning.density(table(spark, x, ids), radius, least).collect()}
+        assert got == brute_density(x, ids, radius, least)
+
+
+def test_density_of_values_that_single_precision_cannot_hold(spark):
+    x = np.array([[1e30, 0], [1e30, 0], [1e30, 0], [2e30, 0], [0, 1], [0, 1]], np.float32)
+    got = {r.vec_id: r.cluster for r in learning.density(table(spark, x), 0.5, 1).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: -1, 4: 4, 5: 4}
+
+
+def test_memory_and_number_of_links_are_bounded(spark):
+    """All within the radius: tiles hold a bounded number of pairs, and links are as many as rows, not pairs."""
+    p, q = vectors(1024, 16).astype(float), vectors(8192, 16, 1).astype(float)
+    seen = []
+    mb = peak(lambda: seen.extend([sum(len(i) for i, _ in neighbours.near(p, q, 100.0))]))
+    assert seen == [1024 * 8192] and mb < 100
+    same = table(spark, np.ones((300, 4))).selectExpr("vec_id AS id", "transform(embedding, x -> double(x)) AS v")
+    assert neighbours.links(same, 0.1).count() <= 2 * 300 * max(1, same.rdd.getNumPartitions())
