@@ -50,9 +50,10 @@ def normalised(text: str | Column, stop: list[str] = (), phrases: list[str] = ()
     for p in sorted((p.strip().lower() for p in phrases if p.strip()), key=len, reverse=True):
         c = F.replace(c, F.lit(p), F.lit(" "))
     c = F.regexp_replace(c, r"[0-9][0-9.,]*", " num ")
-    c = F.regexp_replace(c, f"[^{LETTERS}]+", " ")
+    # runs of letters are found, not cut out: a class of all but LETTERS tries each of them on every letter
+    runs = F.regexp_extract_all(c, F.lit(f"[{LETTERS}]{{{max(min_len, 1)},}}"), F.lit(0))
     drop = [*stop, *ELISIONS]
-    return F.coalesce(F.filter(F.split(c, " "), lambda w: (w != "") & (F.length(w) >= min_len) & ~w.isin(drop)), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(runs, lambda w: ~w.isin(drop)), F.array().cast("array<string>"))
 
 
 def class_words(text: str | Column, stop: list[str] = ()) -> Column:
