@@ -3,6 +3,8 @@
 import collections
 import hashlib
 
+from pyspark.sql import functions as F
+
 from papyra.operators import learning
 from papyra.plans.catalog import QUERIES
 
@@ -31,3 +33,15 @@ def test_lda_takes_every_word_of_enough_documents(spark):
     docs = spark.createDataFrame([(i, common + rarer) for i in range(5)] + [(5, common), (6, common), (7, ["unique"])] + [(8, rarer)], "doc_id long, tokens array<string>")
     weight = {r.doc_id: r.weight for r in learning.lda(docs, k=2, max_iter=1).collect()}
     assert weight[8] > 0 and weight[7] == 0
+
+
+def test_lda_takes_texts_apart_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        calls.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, "a b c" if i % 2 else "c d e") for i in range(40)], "doc_id long, text string").repartition(2)
+    got = learning.lda(docs.select("doc_id", F.udf(cut, "array<string>")("text").alias("tokens")), k=2, max_iter=5).collect()
+    assert len(got) == 40 and calls.value == 40
