@@ -75,28 +75,34 @@ def keyword_client(words: dict[str, str]) -> Client:
 def classify(articles: DataFrame, client: Client, labels: list[str], group: str, key: str, text: str = "text", tokens: str = "tok", fixed: int = 0, batched: bool = True) -> DataFrame:
     """(group, key, themes, error): articles packed into lots, one call per lot.
 
-    Lots stay together in a partition and stream through one at a time.
+    A group's articles stream in order through one worker, which packs them as they come
+    and holds one lot and one batch.
     """
-    lots = batching.with_lots(articles.select(group, key, text, tokens), group, key, tokens, fixed, most=batching.MAX_ITEMS if batched else 1)
-    names = set(labels)
+    names, most = set(labels), batching.MAX_ITEMS if batched else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows):
-            got = by_halves(client, [(k, t) for _, k, t, _ in rows], labels)
-            return pd.DataFrame([(g, k, valid(got.get(k), names), "failed" if got.get(k) is None else None) for g, k, _, _ in rows], columns=[group, key, "themes", "error"])
+            got = by_halves(client, [(k, t) for _, k, t in rows], labels)
+            return [(g, k, valid(got.get(k), names), "failed" if got.get(k) is None else None) for g, k, _ in rows]
 
-        held: list[tuple] = []
+        frame = lambda out: pd.DataFrame(out, columns=[group, key, "themes", "error"])
+        lots, now, held = batching.Lots(fixed, most=most), None, []
         for pdf in batches:
-            for row in pdf[[group, key, text, "lot"]].itertuples(index=False, name=None):
-                if held and (row[0], row[3]) != (held[0][0], held[0][3]):
-                    yield done(held)
+            out: list[tuple] = []
+            for g, k, t, n in pdf[[group, key, text, tokens]].itertuples(index=False, name=None):
+                lot = lots(g, n)
+                if held and (lots.group, lot) != now:
+                    out += done(held)
                     held = []
-                held.append(row)
+                now = (lots.group, lot)
+                held.append((g, k, t))
+            yield frame(out)
         if held:
-            yield done(held)
+            yield frame(done(held))
 
     kind = {f.name: f.dataType.simpleString() for f in articles.schema}
-    return lots.mapInPandas(run, f"{group} {kind[group]}, {key} {kind[key]}, themes array<string>, error string")
+    rows = articles.select(group, key, text, tokens).repartition(group).sortWithinPartitions(group, key)
+    return rows.mapInPandas(run, f"{group} {kind[group]}, {key} {kind[key]}, themes array<string>, error string")
 
 
 def cascade(articles: DataFrame, first: Client, second: Client, branches: dict[str, list[str]], group: str, key: str, text: str = "text", tokens: str = "tok", fixed: int = 0, lead_in: int = 0, batched: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from papyra.functions import measures as M
 from papyra.functions import text as X
 from papyra.operators import batching, corpus, labelling, models, ranking, requests, taxonomy, topics, trials
+from papyra.plans.catalog import QUERIES
 
 
 def rows(df):
@@ -72,6 +73,29 @@ def test_cascade_with_a_lead_in(spark):
     assert [r.key for r in labelling.in_order(spark.createDataFrame([("p",), ("q",)], "key string"), order, "key").collect()] == ["q", "p"]
 
 
+def test_classify_packs_in_the_worker_that_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def client(items, labels):
+        calls.add(1)
+        return {k: ["A"] if "x" in t else ["Z"] for k, t in items}
+
+    rows_of = [(g, k, "x" if k % 2 else None, 9) for g in ("a", "b", None) for k in range(60)] + [("c", 0, "x", 50_000), ("c", 1, "x", 1)]
+    a = spark.createDataFrame([(g, k, t or "", n) for g, k, t, n in rows_of], "g string, k int, t string, n long")
+    got = labelling.classify(a, client, ["A"], "g", "k", "t", "n", fixed=100)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert sorted(rows(got), key=str) == sorted([(g, k, ["A"] if t else [], None) for g, k, t, _ in rows_of], key=str)
+    assert calls.value == 3 * 3 + 2
+
+
+def test_stub_classify_has_bounded_batches(spark, tmp_path):
+    """Its texts go to Python in batches of a bounded number of bytes, and its result is read, not computed anew by who reads it."""
+    spark.createDataFrame([(i, "s", "the und" if i % 2 else None) for i in range(30)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["stub_classify"](spark, str(tmp_path))
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(got)) == [("s", i, "A,C" if i % 2 else "") for i in range(30)]
+
+
 def test_free_answers_when_strict_ones_are_refused():
     def strict(items, labels):
         raise labelling.Refused(400)
