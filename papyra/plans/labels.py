@@ -40,10 +40,10 @@ def edges(t, more: bool = False):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     out = t.region.select(key("r", "r_regionkey").alias("code"), F.lit(None).cast("string").alias("parent"))
     out = out.union(t.nation.select(key("n", "n_nationkey"), key("r", "n_regionkey")))
-    out = out.union(t.spark.createDataFrame([("n98", "r0"), ("n99", "r1")], "code string, parent string"))
+    out = out.union(t.small([("n98", "r0"), ("n99", "r1")], "code string, parent string"))
     out = out.union(t.supplier.select(key("s", "s_suppkey"), key("n", "s_nationkey"))).union(t.customer.select(key("c", "c_custkey"), key("n", "c_nationkey")))
     if more:
-        out = out.union(t.spark.createDataFrame([("x1", "gone"), ("y1", "y2"), ("y2", "y1")], "code string, parent string"))
+        out = out.union(t.small([("x1", "gone"), ("y1", "y2"), ("y2", "y1")], "code string, parent string"))
     return out
 
 
